@@ -16,6 +16,9 @@ from textlens.functions.contractions import CONTRACTIONS
 
 # The character classes and patterns that define the normalisation.
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CHARACTERS = "".join(
+    chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 WORD = r"[\p{L}\p{N}_]"
 PUNCTUATION = "!\"$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 LINK = (
@@ -26,14 +29,16 @@ LINK = (
 ) % {"s": SPACES}
 HANDLE = f"@[^{SPACES}]+"
 LONG_RUN = r"(([^\n])\2{2})\2+"
-HYPHENATED = f"({WORD}+)-({WORD}+)"
+# The hyphen is looked for first; \G rules out one whose left word the previous match has taken.
+HYPHENATED = rf"(?!\G)-(?<={WORD}-)({WORD}+)"
+PUNCTUATION_CLASS = r"[!\"$%&'()*+,\-./:;<=>?@\[\\\]^`{|}~]+"
 NON_ASCII = r"[^\x00-\x7F]"
 CONTRACTION_PIECES = r"[A-Za-z]+(?:'[A-Za-z]+)*|[^A-Za-z]+"
 
 
 def replace_newlines(text: Column) -> Column:
     """Line feeds become spaces, carriage returns go."""
-    return F.translate(text, "\n\r", " ")
+    return F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
 
 
 def drop_non_ascii(text: Column) -> Column:
@@ -41,7 +46,8 @@ def drop_non_ascii(text: Column) -> Column:
 
 
 def drop_links(text: Column) -> Column:
-    return F.regexp_replace(text, LINK, "")
+    possible = F.contains(text, F.lit("://")) | F.contains(F.lower(text), F.lit("www."))
+    return F.when(possible, F.regexp_replace(text, LINK, "")).otherwise(text)
 
 
 def phrase_pattern(phrases: Sequence[str]) -> str:
@@ -67,7 +73,7 @@ def join_phrases(text: Column, phrases: Sequence[str]) -> Column:
 
 
 def drop_handles(text: Column) -> Column:
-    return F.regexp_replace(text, HANDLE, "")
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, HANDLE, "")).otherwise(text)
 
 
 def shorten_runs(text: Column) -> Column:
@@ -92,16 +98,16 @@ def expand_contractions(text: Column, expansions: Mapping[str, str] = CONTRACTIO
 
 def join_hyphens(text: Column) -> Column:
     """One left-to-right pass: the hyphen between two words becomes an underscore."""
-    return F.regexp_replace(text, HYPHENATED, "$1_$2")
+    return F.regexp_replace(text, HYPHENATED, "_$1")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def drop_punctuation(text: Column) -> Column:
     """All ASCII punctuation but ``#`` and ``_`` is deleted."""
-    return F.translate(text, PUNCTUATION, "")
+    return F.regexp_replace(text, PUNCTUATION_CLASS, "")
 
 
 def tokenize(text: Column) -> Column:

@@ -39,9 +39,15 @@ def centroid(space: DataFrame) -> DataFrame:
     return space.agg(mean_vector(F.col("vec")).alias("vec"))
 
 
+def centred(space: DataFrame) -> DataFrame:
+    """Shift every vector by the centroid."""
+    placed = space.withColumn("_center", centroid(space).scalar())
+    return placed.withColumn("vec", subtract(F.col("vec"), F.col("_center"))).drop("_center")
+
+
 def spherize(space: DataFrame) -> DataFrame:
     """Shift by the centroid, then scale every vector to length one."""
-    return unit_vectors(space.withColumn("vec", subtract(F.col("vec"), centroid(space).scalar())))
+    return unit_vectors(centred(space))
 
 
 def covariance(space: DataFrame) -> DataFrame:
@@ -49,9 +55,6 @@ def covariance(space: DataFrame) -> DataFrame:
 
     Each partition reduces its rows to one matrix of products; only those are shuffled.
     """
-    center = centroid(space).scalar()
-    centred = space.select(subtract(F.col("vec"), center).alias("vec"))
-
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = None, 0
         for batch in batches:
@@ -70,7 +73,7 @@ def covariance(space: DataFrame) -> DataFrame:
                 }
             )
 
-    parts = centred.mapInArrow(products, "i int, j int, s double, n bigint")
+    parts = centred(space).select("vec").mapInArrow(products, "i int, j int, s double, n bigint")
     return parts.groupBy("i", "j").agg((F.sum("s") / (F.sum("n") - 1)).alias("cov"))
 
 
@@ -91,12 +94,12 @@ def fit_pca(space: DataFrame, components: int = 10, spherized: bool = True) -> t
     """
     base = spherize(space) if spherized else space
     features = base.select("idx", "word", array_to_vector(doubles(F.col("vec"))).alias("raw"))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="centred").fit(features).transform(features)
-    model = PCA(k=components, inputCol="centred", outputCol="projected").fit(centred)
+    shifted = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="centred").fit(features).transform(features)
+    model = PCA(k=components, inputCol="centred", outputCol="projected").fit(shifted)
     loadings = model.pc.toArray()
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
     turned = F.zip_with(vector_to_array("projected"), F.array(*[F.lit(float(s)) for s in signs]), lambda x, s: x * s)
-    scores = model.transform(centred).select("idx", "word", turned.alias("scores"))
+    scores = model.transform(shifted).select("idx", "word", turned.alias("scores"))
     return scores, [float(x) for x in model.explainedVariance]
 
 
