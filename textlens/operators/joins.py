@@ -34,14 +34,16 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "inner",
     max_bytes: int = BROADCAST_BYTES,
+    right_bytes: int | None = None,
 ) -> DataFrame:
     """Join each row of ``left`` to the one row of ``right`` with its key.
 
-    ``right`` must hold each key once and be cheap to read twice. It is broadcast only after its size
-    was measured; a larger table is joined by shuffle with the hot keys of ``left`` spread over salts.
+    ``right`` must hold each key once and be cheap to read twice. It is broadcast only if its size, measured
+    here unless the caller knows it, is small; a larger table is joined by shuffle with the hot keys of
+    ``left`` spread over salts.
     """
     keys = list(keys)
-    if table_bytes(right) <= max_bytes:
+    if (table_bytes(right) if right_bytes is None else right_bytes) <= max_bytes:
         return left.join(F.broadcast(right), keys, how)
     return salted_lookup_join(left, right, keys, how)
 

@@ -48,11 +48,11 @@ def running_total(df: DataFrame, index: str, value: str, name: str) -> DataFrame
     totals = (
         parts.groupBy("_chunk")
         .agg(F.sum(value).alias("_total"))
-        .select("_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+        .select("_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_earlier"))
     )
     inside = Window.partitionBy("_chunk").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
     return (
         parts.join(totals, "_chunk")
-        .withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_chunk", "_before")
+        .withColumn(name, F.col("_earlier") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("_chunk", "_earlier")
     )

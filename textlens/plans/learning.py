@@ -149,8 +149,8 @@ def _negative_samples_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL
       SELECT idx, idx, (idx * 13 + draw * 5 + 2) % n, 0 FROM space, size, (SELECT unnest(range(3)) AS draw)),
     logits AS (
-      SELECT key, target, word, label, list_dot_product(p.vec, list_reverse(o.vec)) + o.idx * 0.001 AS x
-      FROM words JOIN space p ON p.idx = target JOIN space o ON o.idx = word),
+      SELECT key, target, words.word, words.label, list_dot_product(p.vec, list_reverse(o.vec)) + o.idx * 0.001 AS x
+      FROM words JOIN space p ON p.idx = target JOIN space o ON o.idx = words.word),
     losses AS (SELECT *, CASE WHEN label = 1 THEN -x ELSE x END AS y FROM logits)
     SELECT key, target, word, CAST(label AS BIGINT) AS label, {rounded_sql('greatest(y, 0) + ln(1 + exp(-abs(y)))')} AS loss FROM losses""",
 )
