@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlens.functions.hashing import hash_int, hash_uniform
 from textlens.functions.vector import dot, interpolate, softplus
@@ -26,32 +29,36 @@ def subsample(lines: DataFrame, vocab: DataFrame, seed: int, line: str = "line_i
     return sequences(kept.select(line, F.struct("pos", "idx").alias("_code")), [line])
 
 
-def pair_array(seq: Column, window: int, seed: int | None = None, keys: Sequence[Column] = ()) -> Column:
-    """Array of (pos, context_pos, target, context) for all neighbours within ``window`` places.
+def _radius(window: int, seed: int | None, line: str, pos: Column) -> Column:
+    """The window, or with a seed a number in 1..window drawn by line and position."""
+    if seed is None:
+        return F.lit(window)
+    return F.lit(window) - F.pmod(hash_int(seed, F.col(line), pos), F.lit(window)).cast("int")
 
-    With a seed the radius at each position is drawn from 1..window by ``keys`` and the position.
-    """
-    last = F.size(seq) - 1
 
-    def around(target: Column, pos: Column) -> Column:
-        radius = F.lit(window)
-        if seed is not None:
-            radius = radius - F.pmod(hash_int(seed, *keys, pos), F.lit(window)).cast("int")
-        places = F.sequence(F.greatest(F.lit(0), pos - radius), F.least(last, pos + radius))
-        return F.transform(
-            F.filter(places, lambda place: place != pos),
-            lambda place: F.struct(
-                pos.alias("pos"), place.alias("context_pos"), target.alias("target"), F.get(seq, place).alias("context")
-            ),
-        )
+def _neighbours(spots: DataFrame, window: int) -> DataFrame:
+    """Meet every spot (``seq, pos, target, _radius``) with each word in reach at distance ``_step``.
 
-    return F.flatten(F.transform(seq, around))
+    Two generators in a row compile into nested loops over the sequence, which is not copied.
+    """
+    steps = F.array(*[F.lit(step) for step in range(-window, window + 1) if step])
+    other = F.col("pos") + F.col("_step")
+    met = spots.withColumn("_step", F.explode(steps)).filter(
+        (F.abs("_step") <= F.col("_radius")) & (other >= 0) & (other < F.size("seq"))
+    )
+    return met.withColumn("context_pos", other).withColumn("context", F.get("seq", other))
 
 
-def skipgram_pairs(lines: DataFrame, window: int, line: str = "line_id", seed: int | None = None) -> DataFrame:
-    """Rows ``line, pos, context_pos, target, context`` in that order; made inside the row, without a shuffle."""
-    pairs = pair_array(F.col("seq"), window, seed, [F.col(line)])
-    return lines.select(line, F.explode(pairs).alias("_pair")).select(line, "_pair.*")
+def skipgram_pairs(
+    lines: DataFrame, window: int, line: str = "line_id", seed: int | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Rows ``line, pos, context_pos, target, context`` in that order; made inside the row, without a shuffle.
+
+    With a seed the radius at each position is drawn from 1..window.
+    """
+    spots = lines.select(line, *keep, "seq", F.posexplode("seq").alias("pos", "target"))
+    pairs = _neighbours(spots.withColumn("_radius", _radius(window, seed, line, F.col("pos"))), window)
+    return pairs.select(line, *keep, "pos", "context_pos", "target", "context")
 
 
 def line_progress(lines: DataFrame, line: str = "line_id") -> DataFrame:
@@ -75,20 +82,36 @@ def training_pairs(
     """
     kept = subsample(lines, vocab, seed, line).filter(F.size("seq") > 1)
     timed = kept.join(line_progress(lines, line), line)
-    paired = timed.withColumn("_pairs", pair_array(F.col("seq"), window, seed, [F.col(line)])).drop("seq")
     if batch_size is None:
-        return paired.select(line, "progress", F.explode("_pairs").alias("_pair")).select(line, "progress", "_pair.*")
+        return skipgram_pairs(timed, window, line, seed, ["progress"])
 
-    sizes = materialise(paired.select("line_no", F.size("_pairs").cast("bigint").alias("_size")))
+    radii = F.transform("seq", lambda _, pos: _radius(window, seed, line, pos))
+    ranged = materialise(timed.withColumn("_radii", radii).withColumn("_starts", _starts(F.col("_radii"))))
+    sizes = ranged.select("line_no", F.element_at("_starts", -1).alias("_size"))
     whole = sizes.agg(F.floor(F.sum("_size") / batch_size) * batch_size).scalar()
-    numbered = paired.join(running_total(sizes, "line_no", "_size", "_before").drop("_size"), "line_no")
-    pairs = numbered.select(line, "progress", "_before", F.posexplode("_pairs").alias("_nth", "_pair"))
-    pair_no = F.col("_before") + F.col("_nth")
-    return (
-        pairs.filter(pair_no < whole)
-        .withColumn("batch", F.floor(pair_no / batch_size).cast("bigint"))
-        .select(line, "progress", "batch", "_pair.*")
+    before = running_total(sizes, "line_no", "_size", "_before").drop("_size")
+    spots = ranged.join(before, "line_no").select(
+        line, "progress", "_before", "_starts", "_radii", "seq", F.posexplode("seq").alias("pos", "target")
     )
+    spots = spots.withColumn("_radius", F.get("_radii", "pos"))
+    spots = spots.withColumn("_first", F.col("_before") + F.get("_starts", "pos"))
+    left = F.least("pos", "_radius")
+    nth = F.when(F.col("_step") < 0, left + F.col("_step")).otherwise(left + F.col("_step") - 1)
+    pairs = _neighbours(spots, window).withColumn("_no", F.col("_first") + nth).filter(F.col("_no") < whole)
+    batch = F.floor(F.col("_no") / batch_size).cast("bigint")
+    return pairs.select(line, "progress", batch.alias("batch"), "pos", "context_pos", "target", "context")
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _starts(radii: pd.Series) -> pd.Series:
+    """Number of pairs before each position of a line, and at the end their total."""
+
+    def starts(radius: np.ndarray) -> np.ndarray:
+        pos = np.arange(len(radius))
+        pairs = np.minimum(pos, radius) + np.minimum(len(radius) - 1 - pos, radius)
+        return np.concatenate([[0], np.cumsum(pairs)])
+
+    return radii.map(starts)
 
 
 def draw_by_interval(draws: DataFrame, intervals: DataFrame, u: str = "_u") -> DataFrame:
