@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.vector import cosine, doubles, subtract, unit
+from textlens.operators.joins import lookup_join
 
 
 def mean_vector(vec: Column) -> Column:
@@ -177,6 +178,7 @@ def cosine_pairs(pairs: DataFrame, space: DataFrame) -> DataFrame:
     """Cosine of the words ``a`` and ``b`` (indices) of each row."""
     left = space.select(F.col("idx").alias("a"), F.col("vec").alias("_u"))
     right = space.select(F.col("idx").alias("b"), F.col("vec").alias("_v"))
-    return pairs.join(left, "a").join(right, "b").withColumn("similarity", cosine(F.col("_u"), F.col("_v"))).drop("_u", "_v")
+    joined = lookup_join(lookup_join(pairs, left, ["a"]), right, ["b"])
+    return joined.withColumn("similarity", cosine(F.col("_u"), F.col("_v"))).drop("_u", "_v")
 
 

@@ -17,19 +17,26 @@ from textlens.functions.text import tokenize
 from textlens.functions.vector import sigmoid
 from textlens.operators.sampling import sample_per_group
 from textlens.operators.temporal import stance_by_bucket, weighted_mean
+from textlens.session import scratch_path
 
 # Class index to stance (anti, neutral, news, pro).
 CLASSES = (-1, 0, 2, 1)
 
 
 def fit_classifier(labelled: DataFrame, features: int = 1 << 16, iterations: int = 20, penalty: float = 0.01) -> PipelineModel:
-    """Multinomial logistic regression on weighted word counts of ``text``, trained on ``label``."""
+    """Multinomial logistic regression on weighted word counts of ``text``, trained on ``label``.
+
+    The model is stored and read back, which leaves the summary of its training, and the session that one
+    holds, out of the tasks that apply it.
+    """
     stages = [
         HashingTF(numFeatures=features, inputCol="words", outputCol="counts"),
         IDF(inputCol="counts", outputCol="features"),
         LogisticRegression(family="multinomial", maxIter=iterations, regParam=penalty, rawPredictionCol="raw"),
     ]
-    return Pipeline(stages=stages).fit(_worded(labelled))
+    path = scratch_path(labelled.sparkSession, "classifier")
+    Pipeline(stages=stages).fit(_worded(labelled)).write().save(path)
+    return PipelineModel.load(path)
 
 
 def _worded(texts: DataFrame) -> DataFrame:

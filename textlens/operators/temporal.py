@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.vector import cosine
+from textlens.operators.joins import lookup_join
+from textlens.operators.ranking import global_index
 from textlens.operators.vocab import word_counts
+from textlens.session import materialise
 
 
 def term_frequency(
@@ -23,15 +26,19 @@ def term_frequency(
     """Mentions of each word per bucket and their share of the bucket's words: ``mentions, proportion``.
 
     Each bucket has its own vocabulary, cut by frequency and size; its corpus size counts the kept words.
-    Ties at the cut go by ``order``, a column of first appearance, or by the word.
+    Ties at the cut go by ``order``, a column of first appearance, or by the word. The counts are stored
+    once, and a bucket that holds most of them is neither ranked nor joined in one task.
     """
     kept = _bucket_counts(tokens, bucket, order).filter(F.col("freq") >= min_frequency)
-    if max_tokens is not None:
-        rank = Window.partitionBy(bucket).orderBy(F.col("freq").desc(), F.col("_tie").asc())
-        kept = kept.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= max_tokens)
+    if max_tokens is None:
+        kept = materialise(kept.drop("_tie"))
+    else:
+        placed = global_index(kept, [F.col(bucket).asc(), F.col("freq").desc(), F.col("_tie").asc()], "_place")
+        starts = placed.groupBy(bucket).agg(F.min("_place").alias("_start"))
+        kept = lookup_join(placed, starts, [bucket]).filter(F.col("_place") - F.col("_start") < max_tokens)
     sizes = kept.groupBy(bucket).agg(F.sum("freq").alias("corpus_size"))
     chosen = kept if words is None else kept.filter(F.col("word").isin(*words))
-    return chosen.join(sizes, bucket).select(
+    return lookup_join(chosen, sizes, [bucket]).select(
         bucket, "word", F.col("freq").alias("mentions"), (F.col("freq") / F.col("corpus_size")).alias("proportion")
     )
 
