@@ -29,10 +29,12 @@ _KEYS = {"documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that comes in fewer splits than there are cores is spread over the cores."""
+    """A given table; one that is too small to give every core a split is spread over the cores."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in _KEYS and len(rows.inputFiles()) < cores:
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if name in _KEYS and int(size.toString()) < cores * int(split):
         return rows.repartition(cores, _KEYS[name])
     return rows
 
