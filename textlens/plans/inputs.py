@@ -25,6 +25,7 @@ TAILS = {
 }
 
 
+SPLIT_BYTES = 128 << 20
 _KEYS = {"documents": "doc_id"}
 
 
@@ -32,9 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; one that is too small to give every core a split is spread over the cores."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if name in _KEYS and int(size.toString()) < cores * int(split):
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if name in _KEYS and size < cores * SPLIT_BYTES:
         return rows.repartition(cores, _KEYS[name])
     return rows
 
