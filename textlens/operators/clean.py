@@ -82,7 +82,7 @@ def make_corpus(
 
 
 def processing_summary(raw: DataFrame, cleaned: DataFrame, by: str = "bucket") -> DataFrame:
-    """Files, posts and bytes before and after cleaning per ``by``, with a total row (null ``by``).
+    """Files, posts and bytes before and after cleaning per ``by``, with a total row (``is_total``).
 
     Both inputs hold ``source_file, by, bytes`` per post.
     """
@@ -96,6 +96,7 @@ def processing_summary(raw: DataFrame, cleaned: DataFrame, by: str = "bucket") -
         F.count_if(~F.col("_raw")).alias("_clean_posts"),
     )
     return per_file.rollup(by).agg(
+        (F.grouping(by) == 1).alias("is_total"),
         F.count(F.lit(1)).alias("files"),
         F.sum("_raw_bytes").alias("raw_bytes"),
         F.sum("_clean_bytes").alias("clean_bytes"),

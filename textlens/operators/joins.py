@@ -56,7 +56,8 @@ def salted_lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], h
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     hot = counts.filter(F.col("_n") > total * HOT_SHARE).select(*keys, F.lit(True).alias("_hot"))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)).cast("int")
+    hashable = [F.col(name) for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int")
     no_key = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])
     tagged = (
         left.join(F.broadcast(hot), keys, "left")

@@ -25,37 +25,39 @@ def sample_per_group(
 
     Rows are drawn by their hash. A group of n rows is cut into sqrt(n) hash cells; counting the cells
     tells which of them are taken whole and which one is taken in part, and only that one is sorted.
-    So a group that holds most of the rows is never gathered in one task.
+    So a group that holds most of the rows is never gathered in one task. Rows without a group are one.
     """
     if (proportion is None) == (size is None):
         raise ValueError("give either a proportion or a size")
+    kept = df.columns
+    df = df.withColumn("_group", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null")))
     taken = F.floor(F.col("_n") * F.lit(proportion)) if size is None else F.least("_n", F.lit(size))
     groups = materialise(
-        df.groupBy(group)
+        df.groupBy("_group")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(group, taken.cast("bigint").alias("_take"), F.ceil(F.sqrt("_n")).cast("bigint").alias("_cells"))
+        .select("_group", taken.cast("bigint").alias("_take"), F.ceil(F.sqrt("_n")).cast("bigint").alias("_cells"))
     )
     drawn = df.withColumn("_u", hash_uniform(seed, *[F.col(key) for key in keys]))
     cell = F.floor(F.col("_u") * F.col("_cells")).cast("bigint")
 
-    light = drawn.select(group, *[key for key in keys if key != group], "_u")
-    cells = lookup_join(light, groups, [group]).groupBy(group, "_take", "_cells", cell.alias("_cell"))
-    upto = Window.partitionBy(group).orderBy("_cell")
+    light = drawn.select("_group", *keys, "_u")
+    cells = lookup_join(light, groups, ["_group"]).groupBy("_group", "_take", "_cells", cell.alias("_cell"))
+    upto = Window.partitionBy("_group").orderBy("_cell")
     counted = cells.agg(F.count(F.lit(1)).alias("_in")).withColumn("_upto", F.sum("_in").over(upto))
     edge = materialise(
         counted.filter((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_in") < F.col("_take"))).select(
-            group, "_cells", F.col("_cell").alias("_edge"), (F.col("_take") - F.col("_upto") + F.col("_in")).alias("_need")
+            "_group", "_cells", F.col("_cell").alias("_edge"), (F.col("_take") - F.col("_upto") + F.col("_in")).alias("_need")
         )
     )
 
-    placed = lookup_join(drawn, edge, [group]).withColumn("_cell", cell)
-    whole = placed.filter(F.col("_cell") < F.col("_edge")).select(*df.columns)
-    order = Window.partitionBy(group).orderBy("_u", *keys)
+    placed = lookup_join(drawn, edge, ["_group"]).withColumn("_cell", cell)
+    whole = placed.filter(F.col("_cell") < F.col("_edge")).select(*kept)
+    order = Window.partitionBy("_group").orderBy("_u", *keys)
     part = (
         placed.filter(F.col("_cell") == F.col("_edge"))
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= F.col("_need"))
-        .select(*df.columns)
+        .select(*kept)
     )
     return whole.unionByName(part)
 

@@ -169,7 +169,7 @@ def _posts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT bucket, source_file, sum(strlen(text)) AS rb, count(*) AS rp,
            sum(CASE WHEN lang = 'en' THEN strlen(text) ELSE 0 END) AS cb, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS cp
     FROM posts GROUP BY ALL)
-    SELECT coalesce(bucket, 'total') AS bucket, count(*) AS files, CAST(sum(rb) AS BIGINT) AS raw_bytes, CAST(sum(cb) AS BIGINT) AS clean_bytes,
+    SELECT coalesce(bucket, 'total') AS bucket, GROUPING(bucket) = 1 AS is_total, count(*) AS files, CAST(sum(rb) AS BIGINT) AS raw_bytes, CAST(sum(cb) AS BIGINT) AS clean_bytes,
            CAST(sum(rp) AS BIGINT) AS raw_posts, CAST(sum(cp) AS BIGINT) AS clean_posts
     FROM per_file GROUP BY ROLLUP (bucket)""",
 )
