@@ -77,8 +77,12 @@ class Model:
     def features(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Highest response of every filter within each text; ``words`` (2 columns) are the texts one after another,
         each followed by padding, ``starts`` where they begin."""
-        top = np.zeros((len(starts), len(SPANS), FILTERS), np.float32)
+        top = np.full((len(starts), len(SPANS), FILTERS), -np.inf, np.float32)
         n = len(words)
+        ends = np.concatenate([starts[1:], [n]])
+        reaching = np.zeros(n, bool)  # windows that would reach into the next text
+        for j in range(1, SPANS[-1]):
+            reaching[ends - j] = True
         for begin in range(0, n, BLOCK):
             stop = min(n, begin + BLOCK)
             reach = min(n, stop + SPANS[-1] - 1)
@@ -92,6 +96,7 @@ class Model:
                     part = x[j : stop - begin + j] @ self.filters[i][j]
                     z[: len(part)] += part
                 z += self.bias[i]
+                z[reaching[begin:stop]] = -np.inf
                 best = np.maximum.reduceat(z, cuts, axis=0)
                 np.maximum(top[first : first + len(cuts), i], best, out=top[first : first + len(cuts), i])
         return top
@@ -108,8 +113,10 @@ class Model:
 
 
 def lay_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket pairs of all texts one after another, each followed by padding, and where each begins."""
-    pad = np.zeros(SPANS[-1] - 1, np.int64)
+    """Bucket pairs of all texts one after another, each followed by padding, and where each begins.
+
+    The first window of padding counts as one of the text, so that a text without words has responses too."""
+    pad = np.zeros(SPANS[-1], np.int64)
     joined = np.concatenate([x for t in texts for x in (t, pad)])
     starts = np.cumsum([0, *[len(t) + len(pad) for t in texts[:-1]]])
     return np.stack([joined & 0xFFFFF, joined >> 20 & 0xFFFFF], axis=1), starts
@@ -120,7 +127,7 @@ def log_odds(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     seen = np.zeros((2, BUCKETS))
     for text, label in zip(texts, labels, strict=True):
         seen[label, np.unique(np.concatenate([text & 0xFFFFF, text >> 20 & 0xFFFFF]))] += 1
-    rate = (seen + 2) / (np.bincount(labels, minlength=2)[:, None] + 4)
+    rate = (seen + 0.5) / (np.bincount(labels, minlength=2)[:, None] + 1)
     odds = np.where(seen.sum(axis=0) > 0, np.log(rate[1] / rate[0]), 0)
     odds[0] = 0
     return odds
@@ -129,7 +136,7 @@ def log_odds(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     """Train on encoded texts and their labels (0 or 1); the thresholds stay 0."""
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
+    table = rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32)
     table[:, 0] = 0.25 * log_odds(texts, labels)
     table[0] = 0
     filters = [rng.normal(0, 0.3 / span, (span, WIDTH, FILTERS)).astype(np.float32) for span in SPANS]
@@ -149,7 +156,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
             chosen = order[begin : begin + BATCH]
             words, starts = lay_out([texts[i] for i in chosen])
             words = np.concatenate([words, np.zeros((SPANS[-1], 2), words.dtype)])
-            ends = [*starts[1:], len(words) - SPANS[-1]]
+            ends = np.array([*starts[1:], len(words) - SPANS[-1]]) - (SPANS[-1] - 1)
             x = model.table[words[:, 0]] + model.table[words[:, 1]]
             tops, peaks = [], []
             for i, span in enumerate(SPANS):
@@ -197,16 +204,16 @@ def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((edges[at] + edges[at + 1]) / 2)
 
 
-def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, least: int = 30) -> None:
-    """Set the threshold of each language group on texts kept from training; a group with few texts, or of one class
-    only, takes the threshold of all."""
+def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, least: int = 15) -> None:
+    """Set the threshold of each language group on texts kept from training; a group with under ``least`` texts of
+    either class takes the threshold of all."""
     if not len(texts) or len(set(labels.tolist())) < 2:
         return
     logits, groups = model.logits(texts), np.array([language(t) for t in texts])
     model.thresholds[:] = best_cut(logits, labels)
     for group in range(GROUPS):
         own = groups == group
-        if own.sum() >= least and len(set(labels[own].tolist())) == 2:
+        if np.bincount(labels[own], minlength=2).min() >= least:
             model.thresholds[group] = best_cut(logits[own], labels[own])
 
 
