@@ -82,3 +82,21 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(139, 50)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 50: 50, **{i: 50 for i in range(100, 140)}}
+
+
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    """Small blocks and no rounds with heads: all pairs of a bucket are compared tile by tile."""
+    monkeypatch.setattr(dedup, "BLOCK", 16)
+    monkeypatch.setattr(dedup, "CHUNK", 4)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(160):
+        words = [f"b{j}" for j in range(100)]
+        for at in rng.choice(100, rng.integers(0, 7), False):
+            words[at] = f"v{i}.{at}"
+        rows.append((i * 3 - 200, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute(rows, 4, 80))
+    for heads in (0, 1, 3):
+        monkeypatch.setattr(dedup, "HEADS", heads)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in dedup.near_duplicates(docs, 4, 80).collect()) == want

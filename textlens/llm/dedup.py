@@ -17,7 +17,10 @@ from textlens.llm.components import components
 BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
-CHUNK = 64
+#: Documents of one side of a tile of pairs, and of one block of a bucket.
+CHUNK, BLOCK = 64, 1024
+#: Rounds in which the members of a bucket are compared with one head, before all that is left is compared.
+HEADS = 3
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -122,40 +125,136 @@ def prune(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
     return map_columns(both.select("a", "b", "sa", "sb"), "a bigint, b bigint", make, rows=4096)
 
 
-def confirm(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets satisfy 100 * intersection >= percent * union.
+def in_tiles(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as tiles (tile, a, b) of lists: about `CHUNK` partners of one ``a`` are a tile."""
+    chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1))
+    dealt = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
+    dealt = dealt.withColumn("tile", F.xxhash64("a", F.pmod(F.xxhash64("b"), chunks)))
+    return dealt.groupBy("tile").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+
 
-    Rows of one head ``a`` come sorted behind its text, at most about `CHUNK` members at a time, so a task holds one set
-    of a head and one of a member however many members a head has.
+def confirm(tiles: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs of ``tiles`` whose full shingle sets satisfy 100 * intersection >= percent * union.
+
+    The texts of a tile come sorted behind its pairs, each once, so a task holds the sets of one tile however many pairs
+    a document has. Pairs that links of the same tile already join are passed over.
     """
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    nodes = stored(tiles.select("tile", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")), "nodes")
+    ids = stored(nodes.select(F.col("node").alias("doc_id")).distinct(), "ids")
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(small_side(ids), "doc_id", "left_semi")
-    texts = stored(texts, "texts")
-    chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1))
-    dealt = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
-    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), chunks).alias("chunk"))
-    heads = dealt.select("a", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a")
-    members = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b")
-    rows = heads.select("a", "chunk", F.lit(None).cast("bigint").alias("b"), "text").union(members.select("a", "chunk", "b", "text"))
-    rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    texts = nodes.join(texts.withColumnRenamed("doc_id", "node"), "node")
+    none = F.lit(None).cast("array<bigint>")
+    rows = texts.select("tile", "node", "text", none.alias("a"), none.alias("b"))
+    rows = rows.union(tiles.select("tile", F.lit(None).cast("bigint"), F.lit(None).cast("binary"), "a", "b"))
+    rows = rows.repartition("tile").sortWithinPartitions("tile", F.col("node").asc_nulls_first())
+
+    def links(ones: list[int], twos: list[int], sets: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+        found, root = [], {i: i for i in sets}
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for a, b in zip(ones, twos, strict=True):
+            one, two = sets.get(a), sets.get(b)
+            if one is None or two is None or top(a) == top(b) or 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+                continue
+            common = len(np.intersect1d(one, two, assume_unique=True))
+            if 100 * common >= percent * (len(one) + len(two) - common):
+                found.append((a, b))
+                root[top(a)] = top(b)
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, head = None, None
+        now, ones, twos, sets = None, [], [], {}
         for batch in batches:
             found = []
-            for a, chunk, b, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                own = shingles(text, k)
-                if b is None:
-                    of, head = (a, chunk), own
-                elif of == (a, chunk):
-                    common = len(np.intersect1d(head, own, assume_unique=True))
-                    if 100 * common >= percent * (len(head) + len(own) - common):
-                        found.append((a, b))
+            for tile, node, text, a, b in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if tile != now:
+                    found += links(ones, twos, sets)
+                    now, ones, twos, sets = tile, [], [], {}
+                if node is None:
+                    ones, twos = ones + a, twos + b
+                else:
+                    sets[node] = shingles(text, k)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        found = links(ones, twos, sets)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def compare_all(left: DataFrame, faces: DataFrame, threshold: float) -> DataFrame:
+    """Tiles of the pairs of different components within each bucket of ``left`` (band, node, label) that the posterior
+    bounds leave. Pairs are compared block by block inside tasks and only the survivors leave them.
+
+    A component with many members in a bucket fills blocks of its own, which are not compared with each other. Two
+    documents are compared in the first band they share and in no other.
+    """
+    need = least_matches(threshold)
+    counted = left.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    cells = counted.withColumn("cell", F.when(F.col("n") >= BLOCK // 2, F.col("label")))
+    sizes = cells.groupBy("band", "cell").agg(F.sum("n").alias("n")).withColumn("of", F.ceil(F.col("n") / BLOCK))
+    blocks = sizes.select("band", "cell", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("at"))
+    blocks = blocks.select("band", "cell", F.xxhash64("band", "cell", "at").alias("block"))
+    one, two = blocks.toDF("band", "c1", "b1"), blocks.toDF("band", "c2", "b2")
+    pairs = one.join(two, "band").filter("b1 <= b2 AND NOT (c1 IS NOT NULL AND c2 IS NOT NULL AND c1 = c2)")
+    ends = F.when(F.col("b1") == F.col("b2"), F.array("b1")).otherwise(F.array("b1", "b2"))
+    tiles = stored(pairs.select(F.xxhash64("b1", "b2").alias("tile"), F.posexplode(ends).alias("side", "block")), "tiles")
+    dealt = left.join(cells.select("band", "label", "cell"), ["band", "label"])
+    dealt = dealt.join(sizes.select("band", F.col("cell").alias("c"), "of"), "band").filter(F.col("cell").eqNullSafe(F.col("c")))
+    dealt = dealt.withColumn("block", F.xxhash64("band", "cell", F.pmod(F.xxhash64("node"), F.col("of"))))
+    rows = dealt.join(faces, "node").join(tiles, "block").select("tile", "side", "band", "node", "label", "signature")
+    rows = rows.repartition("tile").sortWithinPartitions("tile", "side")
+
+    def survivors(tile: list[tuple]) -> Iterator[tuple[list[int], list[int]]]:
+        side = np.array([r[1] for r in tile])
+        node, label = np.array([r[3] for r in tile], np.int64), np.array([r[4] for r in tile], np.int64)
+        marks = np.frombuffer(b"".join(r[5] for r in tile), np.uint32).reshape(len(tile), -1)
+        keys = np.stack([band_keys(m) for m in marks])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+        same, band = side.max() == 0, tile[0][2]
+        own = (keys[0] == band).argmax()
+        for begin in range(0, len(left), CHUNK):
+            part = left[begin : begin + CHUNK]
+            x, y = np.nonzero(label[part][:, None] != label[right][None])
+            x, y = part[x], right[y]
+            if same:
+                x, y = x[x < y], y[x < y]
+            first = ~(keys[x, :own] == keys[y, :own]).any(axis=1)
+            x, y = x[first], y[first]
+            matches = np.zeros(len(x), np.int64)
+            for stop, least in need.items():
+                matches += (marks[x, stop - BATCH : stop] == marks[y, stop - BATCH : stop]).sum(axis=1)
+                on = matches >= least
+                x, y, matches = x[on], y[on], matches[on]
+            for group in np.unique(y // CHUNK):
+                here = y // CHUNK == group
+                yield node[x[here]].tolist(), node[y[here]].tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            found = list(survivors(held)) if held else []
+            names = [held[0][0] + i for i in range(len(found))] if held else []
+            names = [(n + (1 << 63)) % (1 << 64) - (1 << 63) for n in names]
+            parts = [names, [f[0] for f in found], [f[1] for f in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, kinds, strict=True)], ["tile", "a", "b"])
+
+        for batch in batches:
+            for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+                if held and row[0] != held[0][0]:
+                    yield from finish()
+                    held = []
+                held.append(row)
+        yield from finish()
+
+    return rows.mapInArrow(run, "tile bigint, a array<bigint>, b array<bigint>")
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``documents`` (doc_id, text; other columns are ignored).
 
@@ -190,20 +289,19 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         rows, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not rows:
             break
-        last = rounds >= 6 or pairs <= 2 * rows
+        last = rounds >= HEADS or pairs <= 2 * rows
         if last:
-            one, two = left.toDF("band", "a", "la"), left.toDF("band", "b", "lb")
-            tried = one.join(two, "band").filter("a < b AND la <> lb").select("a", "b").distinct()
+            kept = stored(compare_all(left, faces, percent / 100), "survivors")
         else:
             order = F.col("node") if not rounds else F.xxhash64("node", F.lit(rounds))
             heads = left.groupBy("band").agg(F.min_by(F.struct("node", "label"), order).alias("head"))
             tried = left.join(heads, "band").filter("label <> head.label").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
-        kept = stored(prune(tried, faces, percent / 100), "survivors")
+            kept = stored(in_tiles(stored(prune(tried, faces, percent / 100), "survivors")), "tiles")
         fresh = stored(confirm(kept, documents, k, percent), "links")
         rounds += 1
         if fresh.isEmpty():
             if not last:
-                rounds = 6
+                rounds = HEADS
             continue
         found = fresh if found is None else found.union(fresh)
         label = components(found)
