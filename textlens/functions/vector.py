@@ -20,13 +20,15 @@ def norm(vec: Column) -> Column:
 
 
 def cosine(u: Column, v: Column) -> Column:
-    return dot(u, v) / (norm(u) * norm(v))
+    """Null if either vector is zero."""
+    return F.try_divide(dot(u, v), norm(u) * norm(v))
 
 
 def unit(vec: Column) -> Column:
-    """The vector scaled to length one."""
-    values = doubles(vec)
-    return F.zip_with(values, F.array_repeat(norm(vec), F.size(values)), lambda x, length: x / length)
+    """The vector scaled to length one; null for the zero vector, which has no direction."""
+    values, length = doubles(vec), norm(vec)
+    scaled = F.zip_with(values, F.array_repeat(length, F.size(values)), lambda x, by: F.try_divide(x, by))
+    return F.when(length != 0, scaled)
 
 
 def add(u: Column, v: Column) -> Column:

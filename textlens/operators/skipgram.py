@@ -5,26 +5,38 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlens.functions.hashing import hash_int, hash_uniform
+from textlens.functions.text import tokenize
 from textlens.functions.vector import dot, interpolate, softplus
-from textlens.operators.joins import lookup_join
+from textlens.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
 from textlens.operators.ranking import global_index, running_total
-from textlens.operators.vocab import sequences, token_rows
+from textlens.operators.vocab import UNKNOWN, sequences, token_rows, word_lookup
 from textlens.session import materialise
 
 
-def subsample(lines: DataFrame, vocab: DataFrame, seed: int, line: str = "line_id") -> DataFrame:
+def subsample(
+    lines: DataFrame, vocab: DataFrame, seed: int, line: str = "line_id", max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Index sequence per line without unknown words, each kept with its ``sample_prob``.
 
-    The draw depends on the line and the position only. Lines that lose all words are left out.
+    The draw depends on the line and the position only. Lines that lose all words are left out. Up to ``max_bytes``
+    the vocabulary is sent to the tasks and no word leaves its row; a larger one is joined.
     """
+    if table_bytes(vocab.select("word", "idx", "sample_prob")) <= max_bytes:
+        words = tokenize(F.col("text"))
+        code, chance = word_lookup(vocab, "idx", "bigint", UNKNOWN), word_lookup(vocab, "sample_prob", "double", -1.0)
+        coded = lines.select(line, code(words).alias("_codes"), chance(words).alias("_chances"))
+        drawn = F.transform(
+            "_codes", lambda idx, pos: F.when(hash_uniform(seed, F.col(line), pos) < F.get("_chances", pos), idx)
+        )
+        return coded.select(line, F.filter(drawn, lambda idx: idx.isNotNull()).alias("seq")).filter(F.size("seq") > 0)
     tokens = token_rows(lines, [line])
-    known = lookup_join(tokens, vocab.select("word", "idx", "sample_prob"), ["word"], "inner")
+    known = lookup_join(tokens, vocab.select("word", "idx", "sample_prob"), ["word"], "inner", max_bytes)
     kept = known.filter(hash_uniform(seed, F.col(line), F.col("pos")) < F.col("sample_prob"))
     return sequences(kept.select(line, F.struct("pos", "idx").alias("_code")), [line])
 
@@ -102,16 +114,18 @@ def training_pairs(
     return pairs.select(line, "progress", batch.alias("batch"), "pos", "context_pos", "target", "context")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _starts(radii: pd.Series) -> pd.Series:
-    """Number of pairs before each position of a line, and at the end their total."""
-
-    def starts(radius: np.ndarray) -> np.ndarray:
-        pos = np.arange(len(radius))
-        pairs = np.minimum(pos, radius) + np.minimum(len(radius) - 1 - pos, radius)
-        return np.concatenate([[0], np.cumsum(pairs)])
-
-    return radii.map(starts)
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _starts(radii: pa.Array) -> pa.Array:
+    """Number of pairs before each position of a line, and at the end their total; all lines of a batch at once."""
+    lengths = radii.value_lengths().to_numpy()
+    ends = np.cumsum(lengths)
+    first, last = np.repeat(ends - lengths, lengths), np.repeat(ends, lengths) - 1
+    radius, at = radii.flatten().to_numpy(), np.arange(lengths.sum())
+    below = np.concatenate([[0], np.cumsum(np.minimum(at - first, radius) + np.minimum(last - at, radius))])
+    cuts = np.concatenate([[0], np.cumsum(lengths + 1)])
+    place = np.arange(cuts[-1]) - np.repeat(np.arange(len(lengths)), lengths + 1)
+    counts = below[place] - np.repeat(below[ends - lengths], lengths + 1)
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(counts, pa.int64()))
 
 
 def draw_by_interval(draws: DataFrame, intervals: DataFrame, u: str = "_u") -> DataFrame:

@@ -135,7 +135,9 @@ def _nearest(space: DataFrame, vector: Sequence[float], k: int | None, without:
     target = F.array(*[F.lit(float(x)) for x in vector])
     left_out = list(without)
     others = space.filter(~F.col("idx").isin(*left_out)) if left_out else space
-    ranked = others.select("idx", "word", cosine(F.col("vec"), target).alias("similarity")).orderBy(
+    scored = others.select("idx", "word", cosine(F.col("vec"), target).alias("similarity"))
+    # a zero vector is near to nothing
+    ranked = scored.filter(F.col("similarity").isNotNull()).orderBy(
         F.col("similarity").desc(), F.col("idx").asc()
     )
     return ranked.limit(k) if k else ranked

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.text import tokenize
-from textlens.operators.joins import lookup_join
+from textlens.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
 from textlens.operators.ranking import global_index, running_total
 
 UNKNOWN = -1
@@ -105,10 +108,38 @@ def negative_distribution(vocab: DataFrame, power: float = 0.75) -> DataFrame:
     )
 
 
-def encode(lines: DataFrame, vocab: DataFrame, line: str = "line_id", unknown: int = UNKNOWN) -> DataFrame:
-    """Index sequence ``seq`` per line; words outside the vocabulary become ``unknown``."""
+def word_lookup(vocab: DataFrame, value: str, kind: str, absent: float) -> Callable[[Column], Column]:
+    """A function from an array of words to the array of their ``value`` in ``vocab``, which is sent to all tasks.
+
+    For vocabularies of a checked size only. Words are looked up in one vectorised call per batch.
+    """
+    table = vocab.select("word", F.col(value).cast(kind).alias("value")).toArrow()
+    shared = vocab.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), table["value"].combine_chunks()))
+
+    def look_up(words: pa.Array) -> pa.Array:
+        known, values = shared.value
+        at = pc.index_in(words.flatten().cast(known.type), value_set=known)
+        found = pc.fill_null(values.take(at), pa.scalar(absent, values.type))
+        lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), found)
+
+    return F.arrow_udf(look_up, f"array<{kind}>")
+
+
+def encode(
+    lines: DataFrame, vocab: DataFrame, line: str = "line_id", unknown: int = UNKNOWN, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Index sequence ``seq`` per line; words outside the vocabulary become ``unknown``.
+
+    Up to ``max_bytes`` the vocabulary is sent to the tasks and words are coded inside their row, without a shuffle; a
+    larger one is joined.
+    """
+    if table_bytes(vocab.select("word", "idx")) <= max_bytes:
+        code = word_lookup(vocab, "idx", "bigint", unknown)
+        return lines.select(line, code(tokenize(F.col("text"))).alias("seq"))
     tokens = lines.select(line, F.posexplode_outer(tokenize(F.col("text"))).alias("pos", "word"))
-    coded = lookup_join(tokens, vocab.select("word", "idx"), ["word"], "left")
+    coded = lookup_join(tokens, vocab.select("word", "idx"), ["word"], "left", max_bytes)
     code = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(unknown)).alias("idx")))
     return sequences(coded.withColumn("_code", code), [line])
 

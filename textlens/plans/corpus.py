@@ -24,7 +24,7 @@ from textlens.operators.vocab import (
     word_frequency,
 )
 from textlens.plans import inputs
-from textlens.plans.inputs import CORPUS, COUNTS, PHRASES, POSTS, SEED, TOKENS, VOCAB
+from textlens.plans.inputs import CAPPED_VOCAB, CORPUS, COUNTS, PHRASES, POSTS, SEED, TOKENS, VOCAB
 from textlens.plans.registry import plan, rounded, rounded_sql, shown
 from textlens.session import scratch_path
 from textlens.sources.lines import read_lines, write_lines
@@ -124,9 +124,9 @@ def _first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("word", "freq", line.alias("line_id"), pos.alias("pos"))
 
 
-@plan("vocabulary", f"WITH {VOCAB} SELECT word, idx, freq FROM vocab")
+@plan("vocabulary", f"WITH {CAPPED_VOCAB} SELECT word, idx, freq FROM vocab")
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.vocab(spark, sf_dir).select("word", "idx", "freq")
+    return inputs.capped_vocab(spark, sf_dir).select("word", "idx", "freq")
 
 
 @plan("vocabulary_roundtrip", f"""WITH {VOCAB} SELECT c.word, c.freq, coalesce(CAST(v.idx AS VARCHAR), 'null') AS idx
@@ -218,11 +218,18 @@ ENCODED = VOCAB + """,
 coded AS MATERIALIZED (SELECT t.line_id, t.pos, coalesce(v.idx, -1) AS idx FROM tokens t LEFT JOIN vocab v ON v.word = t.word)"""
 
 
-@plan(
-    "encode",
-    f"""WITH {ENCODED} SELECT w.line_id, coalesce(string_agg(CAST(c.idx AS VARCHAR), ' ' ORDER BY c.pos), '') AS seq
-    FROM worded w LEFT JOIN coded c ON c.line_id = w.line_id GROUP BY w.line_id""",
-)
+_SEQUENCES = f"""WITH {ENCODED} SELECT w.line_id, coalesce(string_agg(CAST(c.idx AS VARCHAR), ' ' ORDER BY c.pos), '') AS seq
+    FROM worded w LEFT JOIN coded c ON c.line_id = w.line_id GROUP BY w.line_id"""
+
+
+@plan("encode_by_join", _SEQUENCES)
+def _encode_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for a vocabulary too large to broadcast."""
+    coded = encode(inputs.corpus(spark, sf_dir), inputs.vocab(spark, sf_dir), max_bytes=0)
+    return coded.select("line_id", F.array_join(F.col("seq").cast("array<string>"), " ").alias("seq"))
+
+
+@plan("encode", _SEQUENCES)
 def _encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(inputs.corpus(spark, sf_dir), inputs.vocab(spark, sf_dir))
     return coded.select("line_id", F.array_join(F.col("seq").cast("array<string>"), " ").alias("seq"))

@@ -14,7 +14,7 @@ from textlens.operators.vocab import ordered_word_counts, token_rows, vocabulary
 
 SEED = 42
 PHRASES = ["climate change", "change denial"]
-MAX_TOKENS, MIN_FREQUENCY = 20000, 2
+MAX_TOKENS, MIN_FREQUENCY = 5000, 2  # of the capped vocabulary, which is a feature of its own
 TAILS = {
     0: " see https://t.co/ab12",
     1: " via @user7",
@@ -25,18 +25,9 @@ TAILS = {
 }
 
 
-SPLIT_BYTES = 128 << 20
-_KEYS = {"documents": "doc_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that is too small to give every core a split is spread over the cores."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if name in _KEYS and size < cores * SPLIT_BYTES:
-        return rows.repartition(cores, _KEYS[name])
-    return rows
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _tail() -> Column:
@@ -176,21 +167,28 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the corpus."""
+    return vocabulary(counts(spark, sf_dir))
+
+
+def capped_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary(counts(spark, sf_dir), MAX_TOKENS, MIN_FREQUENCY)
 
 
 COUNTS = TOKENS + """,
 counts AS MATERIALIZED (SELECT word, count(*) AS freq, min(line_id * 1000000 + pos) AS first_seen FROM tokens GROUP BY word)"""
-VOCAB = (
+_VOCAB = (
     COUNTS
-    + f""",
+    + """,
 ranked AS (SELECT word, freq, row_number() OVER (ORDER BY freq DESC, first_seen) - 1 AS idx FROM counts),
-cut AS (SELECT word, idx, freq FROM ranked WHERE idx < {MAX_TOKENS} AND freq >= {MIN_FREQUENCY}),
+cut AS (SELECT word, idx, freq FROM ranked WHERE <cut>),
 vocab AS MATERIALIZED (
   SELECT word, idx, freq,
          least((sqrt(freq / total / 1e-3) + 1) * (1e-3 / (freq / total)), 1.0) AS sample_prob
   FROM cut, (SELECT CAST(sum(freq) AS DOUBLE) AS total FROM cut))"""
 )
+VOCAB = _VOCAB.replace("<cut>", "true")
+CAPPED_VOCAB = _VOCAB.replace("<cut>", f"idx < {MAX_TOKENS} AND freq >= {MIN_FREQUENCY}")
 
 
 def uniform_sql(*keys: str, seed: int = SEED) -> str:

@@ -186,8 +186,8 @@ def _loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("train_embeddings")
 def _train_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = vocabulary(inputs.counts(spark, sf_dir), min_frequency=5)
-    weights, _ = train_embeddings(inputs.corpus(spark, sf_dir), vocab, dim=32, window=2, rounds=2, seed=SEED)
+    vocab = inputs.vocab(spark, sf_dir)
+    weights, _ = train_embeddings(inputs.corpus(spark, sf_dir), vocab, dim=32, window=2, seed=SEED)
     space = space_of(weights)
     return space.select("idx", "word", F.posexplode("vec").alias("dim", "value"))
 
@@ -197,7 +197,7 @@ def _embeddings_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = inputs.posts(spark, sf_dir).select(F.col("id").alias("line_id"), F.col("lang").alias("bucket"), "text")
 
     def vocabulary_of(lines: DataFrame) -> DataFrame:
-        return vocabulary(ordered_word_counts(token_rows(lines)), min_frequency=10)
+        return vocabulary(ordered_word_counts(token_rows(lines)))
 
-    spaces = train_by_bucket(posts, vocabulary_of, dim=16, window=2, rounds=1, seed=SEED)
+    spaces = train_by_bucket(posts, vocabulary_of, dim=16, window=2, rounds=2, seed=SEED)
     return spaces.select("bucket", "idx", "word", F.posexplode("vec").alias("dim", "value"))

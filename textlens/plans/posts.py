@@ -18,7 +18,7 @@ from textlens.plans.inputs import POSTS, SEED, hash_sql, month_of, posts, table,
 from textlens.plans.registry import plan, shown, shown_sql
 from textlens.session import scratch_path
 from textlens.sources.lines import bucket_from_path, label_by_name
-from textlens.sources.posts import parse_posts, scan_cleaned, scan_posts, write_posts
+from textlens.sources.posts import count_bad_rows, parse_posts, scan_cleaned, scan_posts, write_posts
 from textlens.streaming.jobs import run_available, stream_clean, stream_rows
 
 OUT = ["id", "text", "truncated", "lang", "created_at", "quote_count", "reply_count", "retweet_count", "favorite_count"]
@@ -107,16 +107,25 @@ def _shown() -> list[Column]:
 )
 def _scan_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, path = raw_json(spark, sf_dir), scratch_path(spark, "raw-posts")
-    even = F.col("id") % 2 == 0
-    rows.filter(even).select("value").write.option("compression", "bzip2").text(f"{path}/one-per-line")
-    lists = rows.filter(~even).groupBy(F.floor(F.col("id") / 100)).agg(F.collect_list("value").alias("all"))
-    lists = lists.select(F.concat(F.lit("["), F.array_join("all", ","), F.lit("]")).alias("value"))
-    lists.write.option("compression", "bzip2").text(f"{path}/lists")
+    third = F.col("id") % 3
+    rows.filter(third == 0).select("value").write.option("compression", "bzip2").text(f"{path}/one-per-line")
+    for rest, gap in ((1, ""), (2, "\n")):
+        lists = rows.filter(third == rest).groupBy(F.floor(F.col("id") / 100)).agg(F.collect_list("value").alias("all"))
+        lists = lists.select(F.concat(F.lit("[" + gap), F.array_join("all", "," + gap), F.lit(gap + "]")).alias("value"))
+        lists.write.option("compression", "bzip2").option("maxRecordsPerFile", 1).text(f"{path}/lists-{rest}")
     found = scan_posts(spark, path)
     found = found.withColumn("original_id", F.col("retweeted_status.id"))
     return found.select(*_shown(), shown("original_id"), "has_text", "has_delete")
 
 
+@plan("bad_rows", f"WITH {RAW} SELECT CAST(count(*) FILTER (id % 10 = 3) AS BIGINT) AS bad_rows FROM raw")
+def _bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw posts of which every tenth lost its first character."""
+    broken = F.when(F.col("id") % 10 == 3, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    rows = raw_json(spark, sf_dir).select(broken.alias("value"), F.lit("all").alias("source_file"))
+    return count_bad_rows(rows).agg(F.sum("bad_rows").alias("bad_rows"))
+
+
 @plan("valid_filter", f"WITH {RAW} SELECT id, lang, text FROM valid")
 def _valid_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_posts(parse_posts(raw_json(spark, sf_dir)), ["en", "fr"]).select("id", "lang", "text")

@@ -169,6 +169,20 @@ def _most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("idx", "word", rounded(F.col("similarity")).alias("similarity"))
 
 
+@plan(
+    "zero_vector",
+    f"""WITH {SPACE}, near AS (
+    SELECT s.idx, list_cosine_similarity(q.vec, s.vec) AS similarity FROM space q JOIN space s ON s.idx <> q.idx WHERE q.word = 'w0')
+    SELECT idx, {rounded_sql('similarity')} AS similarity FROM near""",
+)
+def _zero_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words by nearness in a space that also holds a zero vector, which is near to nothing."""
+    space = inputs.space(spark, sf_dir)
+    zero = space.filter("idx = 0").select(F.lit(-1).cast("bigint").alias("idx"), F.lit("nothing").alias("word"), F.transform("vec", lambda x: x * 0).alias("vec"))
+    near = most_similar(space.unionByName(zero), "w0", None)
+    return near.select("idx", rounded(F.col("similarity")).alias("similarity"))
+
+
 _RANKED = f"""{BUCKET_SPACES}, near AS (
   SELECT q.bucket, q.idx AS query, s.idx, list_cosine_similarity(q.vec, s.vec) AS similarity
   FROM spaces q JOIN spaces s ON s.bucket = q.bucket AND s.idx <> q.idx),

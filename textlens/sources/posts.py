@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.functions.text import SPACES
@@ -27,11 +29,11 @@ RAW = ", ".join(
 RAW_SCHEMA = f"array<struct<{RAW}, retweeted_status: struct<{PLAIN}>>>"
 
 
-def read_text_files(spark: SparkSession, path: str, glob: str = "*.bz2", whole_files: bool = False) -> DataFrame:
+def read_text_files(spark: SparkSession, path: str | list[str], glob: str = "*.bz2", whole_files: bool = False) -> DataFrame:
     """Rows ``value, source_file`` of all matching files below ``path``; compressed files are unpacked.
 
-    Lines are read in parallel, also within one bz2 file. Lists that are printed over several lines need
-    ``whole_files``, one row per file.
+    Lines are read in parallel, also within one bz2 file; with ``whole_files`` a file is one row. ``path`` may be a
+    list of files.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     return reader.text(path, wholetext=whole_files).select("value", F.col("_metadata.file_path").alias("source_file"))
@@ -45,13 +47,26 @@ def split_whole_files(files: DataFrame) -> DataFrame:
     return files.withColumn("value", content).select(F.explode(rows).alias("value"), "source_file")
 
 
-def parse_posts(rows: DataFrame) -> DataFrame:
-    """Posts of JSON rows; a row is an object or a list of objects. Rows that are no JSON are left out.
+def printed_lists(lines: DataFrame) -> list[str]:
+    """Files that hold a list printed over several lines: a line opens a list and does not close it."""
+    value = F.regexp_replace("value", f"^[{SPACES}]+|[{SPACES}]+$", "")
+    opens = F.startswith(value, F.lit("[")) & ~F.endswith(value, F.lit("]"))
+    found = lines.filter(opens).select("source_file").distinct().orderBy("source_file")
+    return [row[0] for row in found.collect()]  # names of files, of which the driver lists all anyway
+
+
+def parse_posts(rows: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Posts of JSON rows; a row is an object or a list of objects. Rows that are no JSON are left out; ``seen`` then
+    counts them (``bad_rows``) beside all rows (``rows``) in the same pass.
 
     Adds ``has_id``, ``has_text``, ``has_delete``: whether the key is present, null values included.
     """
     posts = F.from_json("value", RAW_SCHEMA)
-    parsed = rows.select("source_file", F.explode(posts).alias("post"))
+    read = rows.select("source_file", posts.alias("posts"), (F.trim("value") != "").alias("_filled"))
+    if seen is not None:
+        bad = F.col("posts").isNull() & F.col("_filled")
+        read = read.observe(seen, F.count_if(bad).alias("bad_rows"), F.count(F.lit(1)).alias("rows"))
+    parsed = read.select("source_file", F.explode("posts").alias("post"))
     return parsed.select(
         F.expr("try_variant_get(post.id, '$', 'bigint')").alias("id"),
         F.expr("try_variant_get(post.text, '$', 'string')").alias("text"),
@@ -64,15 +79,28 @@ def parse_posts(rows: DataFrame) -> DataFrame:
     )
 
 
-def scan_posts(spark: SparkSession, path: str, glob: str = "*.bz2", whole_files: bool = False) -> DataFrame:
-    """Parsed raw posts of all matching files."""
-    rows = read_text_files(spark, path, glob, whole_files)
-    return parse_posts(split_whole_files(rows) if whole_files else rows)
+def scan_posts(
+    spark: SparkSession, path: str, glob: str = "*.bz2", whole_files: bool | None = None, seen: Observation | None = None
+) -> DataFrame:
+    """Parsed raw posts of all matching files: one object per line, a list on one line, or a list over several.
+
+    The layout is found per file by a first look at the lines, which ``whole_files`` (the layout of all files) saves. Only
+    files with a list over several lines are read whole. ``seen`` counts rows that are no JSON, as in `parse_posts`.
+    """
+    rows = read_text_files(spark, path, glob, bool(whole_files))
+    if whole_files:
+        return parse_posts(split_whole_files(rows), seen)
+    printed = printed_lists(rows) if whole_files is None else []
+    if printed:
+        files = spark.createDataFrame([(name,) for name in printed], "source_file string")
+        whole = split_whole_files(read_text_files(spark, [unquote(name) for name in printed], "*", True))
+        rows = rows.join(files, "source_file", "left_anti").select("value", "source_file").unionByName(whole)
+    return parse_posts(rows, seen)
 
 
 def count_bad_rows(rows: DataFrame) -> DataFrame:
     """Rows per file that are neither empty nor JSON."""
-    bad = F.expr("try_parse_json(value)").isNull() & (F.trim("value") != "")
+    bad = F.from_json("value", RAW_SCHEMA).isNull() & (F.trim("value") != "")
     return rows.groupBy("source_file").agg(F.count_if(bad).alias("bad_rows"))
 
 
