@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.llm.common import map_columns, stored
 
 #: Bits of a code for each dimension; the rotation maps vectors into that many dimensions.
-BITS = 4
+BITS = 8
 #: Width of the error bound in standard deviations of the estimate.
-SIGMAS = 2.5
-#: Vectors of a block of candidates and of queries; rows whose mean serves as centre (the one bounded sample here).
-BLOCK, QUERIES, SAMPLE = 2048, 256, 4096
+SIGMAS = 2.0
+#: Vectors of a block of candidates and of queries; vectors whose mean serves as centre and whose exact distances give a
+#: first limit for each query (the one bounded sample here).
+BLOCK, QUERIES, SAMPLE = 4096, 256, 8192
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -67,13 +69,27 @@ def vector_classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return stored(numbered.withColumn("dims", F.size("vec")), "classes"), keyed
 
 
-def centres(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each number of dimensions the mean of the sampled vectors."""
+def sampled(classes: DataFrame) -> dict[int, np.ndarray]:
+    """For each number of dimensions the sampled vectors."""
     sample = classes.orderBy(F.xxhash64("h1", "h2")).limit(SAMPLE).select("dims", "vec").toArrow()
     out: dict[int, list] = {}
     for dims, vec in zip(sample["dims"].to_pylist(), sample["vec"].to_pylist(), strict=True):
         out.setdefault(dims, []).append(vec)
-    return {dims: np.mean(np.array(found), axis=0) for dims, found in sorted(out.items())}
+    return {dims: np.array(found) for dims, found in sorted(out.items())}
+
+
+def first_limits(asking: DataFrame, sample: Broadcast, k: int) -> DataFrame:
+    """Adds ``limit``, the k-th smallest squared distance to a sampled vector: no nearest one is farther."""
+
+    def limits(vectors: pa.Array) -> pa.Array:
+        out = []
+        for vector in vectors.to_pylist():
+            others = sample.value.get(len(vector), np.empty((0, len(vector))))
+            apart = ((others - np.array(vector)) ** 2).sum(axis=1)
+            out.append(float(np.partition(apart, k - 1)[k - 1]) if len(apart) >= k else float("inf"))
+        return pa.array(out, pa.float64())
+
+    return asking.withColumn("limit", F.arrow_udf(limits, "double")("vec"))
 
 
 def candidates(classes: DataFrame, asking: DataFrame, k: int) -> DataFrame:
@@ -82,11 +98,13 @@ def candidates(classes: DataFrame, asking: DataFrame, k: int) -> DataFrame:
     Blocks of query vectors meet blocks of codes; a pair of blocks is one row, so memory stays the same at any size and
     only codes, not vectors, are sent to each block of queries.
     """
-    middles = centres(classes)
+    samples = sampled(classes)
+    middles = {dims: found.mean(axis=0) for dims, found in samples.items()}
+    asking = first_limits(asking, classes.sparkSession.sparkContext.broadcast(samples), k)
     spread = max(1, -(-asking.count() // QUERIES))
     block = F.pmod(F.xxhash64("no"), F.lit(spread)).cast("int")
-    groups = asking.groupBy("dims", block.alias("block")).agg(F.collect_list(F.struct("no", "vec")).alias("asked"))
-    groups = groups.select("dims", "block", F.col("asked.no").alias("qs"), F.flatten("asked.vec").alias("queries"))
+    groups = asking.groupBy("dims", block.alias("block")).agg(F.collect_list(F.struct("no", "limit", "vec")).alias("asked"))
+    groups = groups.select("dims", "block", F.col("asked.no").alias("qs"), F.col("asked.limit").alias("limits"), F.flatten("asked.vec").alias("queries"))
 
     def centre(dims: int) -> np.ndarray:
         return middles.get(dims, np.zeros(dims))
@@ -120,12 +138,14 @@ def candidates(classes: DataFrame, asking: DataFrame, k: int) -> DataFrame:
             codes = np.frombuffer(part["codes"][i], np.uint8).reshape(len(ids), -1)
             own, length = np.frombuffer(part["own"][i]), np.frombuffer(part["length"][i])
             low, high = bounds(codes, own, length, queries, centre(dims), turn)
-            most = np.partition(high, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(queries), np.inf)
+            most = np.array(part["limits"][i]) * (1 + 1e-9)
+            if len(ids) > k:
+                most = np.minimum(most, np.partition(high, k - 1, axis=1)[:, k - 1])
             rows, columns = np.nonzero(low <= most[:, None])
             found.append((np.array(part["qs"][i], np.int64)[rows], ids[columns], low[rows, columns], high[rows, columns]))
         return {name: np.concatenate([f[j] for f in found]) for j, name in enumerate(("q", "c", "low", "high"))}
 
-    near = map_columns(met.select("dims", "qs", "queries", "ids", "codes", "own", "length"), "q bigint, c bigint, low double, high double", make, rows=8)
+    near = map_columns(met.select("dims", "qs", "limits", "queries", "ids", "codes", "own", "length"), "q bigint, c bigint, low double, high double", make, rows=8)
     near = stored(near, "bounds")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("high", "c"))
     limits = near.withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("q").agg(F.max("high").alias("most"), F.count(F.lit(1)).alias("n"))
@@ -135,13 +155,14 @@ def candidates(classes: DataFrame, asking: DataFrame, k: int) -> DataFrame:
 def rerank(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds the exact Euclidean distance of each pair in double precision."""
 
-    def make(part: dict[str, list]) -> dict[str, object]:
-        apart = [np.sqrt(((np.array(a) - np.array(b)) ** 2).sum()) for a, b in zip(part["a"], part["b"], strict=True)]
-        return {"q": part["q"], "c": part["c"], "score": np.array(apart)}
+    def distance(one: pa.Array, two: pa.Array) -> pa.Array:
+        lengths = one.value_lengths().to_numpy()
+        squares = (one.flatten().to_numpy() - two.flatten().to_numpy()) ** 2
+        return pa.array(np.sqrt(np.add.reduceat(squares, np.cumsum(lengths) - lengths)) if len(lengths) else [], pa.float64())
 
     both = pairs.join(classes.select(F.col("no").alias("c"), F.col("vec").alias("b")), "c")
     both = both.join(classes.select(F.col("no").alias("q"), F.col("vec").alias("a")), "q")
-    return map_columns(both.select("q", "c", "a", "b"), "q bigint, c bigint, score double", make, rows=4096)
+    return both.select("q", "c", F.arrow_udf(distance, "double")("a", "b").alias("score"))
 
 
 def nearest(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
