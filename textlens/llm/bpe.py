@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from textlens.llm.common import map_columns, process_cache
 #: Characters of a part of unsplit text, and tokens on each side of a join in the first window.
 LEAF, WINDOW = 512, 4
 #: Words whose tokens a Python worker remembers before it forgets them all; results do not depend on it.
-MEMO = 200_000
+MEMO = 80_000
 
 
 class Codec:
@@ -29,19 +30,25 @@ class Codec:
 
     def __init__(self, path: str, leaf: int = LEAF) -> None:
         self.leaf = leaf
-        spec = json.load(open(path, encoding="utf-8"))
+        self.path = path
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        bare = {**spec, "normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}
-        self.last = Tokenizer.from_str(json.dumps(bare))
-        self.inner = Tokenizer.from_str(json.dumps({**bare, "model": {**spec["model"], "end_of_word_suffix": None}}))
-        special = [t["content"] for t in spec["added_tokens"]]
+        self.suffix = self.whole.model.end_of_word_suffix or ""
+        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.names = {i: piece for piece, i in self.whole.get_vocab(with_added_tokens=True).items()}
         self.known: dict[str, tuple[bytes, str]] = {}
 
+    @cached_property
+    def bare(self) -> tuple[Tokenizer, Tokenizer]:
+        """The merges alone, for the end of a word and for parts before it; loaded only where a text needs them."""
+        with open(self.path, encoding="utf-8") as file:
+            spec = json.load(file)
+        alone = {**spec, "normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}
+        inner = {**alone, "model": {**spec["model"], "end_of_word_suffix": None}}
+        return Tokenizer.from_str(json.dumps(alone)), Tokenizer.from_str(json.dumps(inner))
+
     def ids(self, word: str) -> list[int]:
         """Token ids of a text without spaces and line ends."""
         if len(word) <= self.leaf:
@@ -61,7 +68,7 @@ class Codec:
             if run is not None and len(run) <= self.leaf:
                 short.append(run)
                 continue
-            out += [i for e in self.last.encode_batch(short, add_special_tokens=False) for i in e.ids]
+            out += [i for e in self.bare[0].encode_batch(short, add_special_tokens=False) for i in e.ids]
             short = []
             if run is not None:
                 out += self.unsplit(run)
@@ -70,8 +77,8 @@ class Codec:
     def unsplit(self, run: str) -> list[int]:
         """Tokens of one run of the tokenizer's byte characters: its parts are encoded side by side, then joined by twos."""
         parts = [run[i : i + self.leaf] for i in range(0, len(run), self.leaf)]
-        pieces = [e.ids for e in self.inner.encode_batch(parts[:-1], add_special_tokens=False)]
-        pieces.append(self.last.encode(parts[-1], add_special_tokens=False).ids)
+        pieces = [e.ids for e in self.bare[1].encode_batch(parts[:-1], add_special_tokens=False)]
+        pieces.append(self.bare[0].encode(parts[-1], add_special_tokens=False).ids)
         while len(pieces) > 1:
             ends = [i + 2 >= len(pieces) for i in range(0, len(pieces), 2)]
             pieces = [self.joined(pieces[i], pieces[i + 1], end) if i + 1 < len(pieces) else pieces[i] for i, end in zip(range(0, len(pieces), 2), ends, strict=True)]
@@ -91,7 +98,7 @@ class Codec:
             text = "".join(self.names[i] for i in [*a, *b])
             if closed and self.suffix:
                 text = text.removesuffix(self.suffix)
-            new = (self.last if closed else self.inner).encode(text, add_special_tokens=False).ids
+            new = self.bare[0 if closed else 1].encode(text, add_special_tokens=False).ids
             if (width >= len(left) or new[0] == a[0]) and (width >= len(right) or new[-1] == b[-1]):
                 return left[:-width] + new + right[width:]
             width *= 2

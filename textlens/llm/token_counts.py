@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textlens.llm.common import map_columns, process_cache
 
 #: Words whose count is remembered by a Python worker before it forgets them all; results do not depend on it.
-MEMO = 200_000
+MEMO = 100_000
 
 
 class PieceCounter:

@@ -20,7 +20,7 @@ WIDTH, FILTERS, SPANS = 12, 12, (1, 2, 3)
 PREFIX = 4
 EPOCHS, BATCH, RATE = 5, 32, 0.05
 BLOCK = 1 << 16
-MEMO = 300_000
+MEMO = 100_000
 #: Frequent words by which a text shows its language (fixed lists); a text without any is of the last group.
 COMMON = {
     "en": "the and of to in is that with was for",
