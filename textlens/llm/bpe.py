@@ -17,7 +17,7 @@ from textlens.llm.common import map_columns, process_cache
 #: Characters of a part of unsplit text, and tokens on each side of a join in the first window.
 LEAF, WINDOW = 512, 4
 #: Words whose tokens a Python worker remembers before it forgets them all; results do not depend on it.
-MEMO = 80_000
+MEMO = 150_000
 
 
 class Codec:
