@@ -13,7 +13,7 @@ from textlens.llm.common import map_columns, stored
 #: Bits of a code for each dimension; the rotation maps vectors into that many dimensions.
 BITS = 8
 #: Width of the error bound in standard deviations of the estimate.
-SIGMAS = 2.0
+SIGMAS = 2.5
 #: Vectors of a block of candidates and of queries; vectors whose mean serves as centre and whose exact distances give a
 #: first limit for each query (the one bounded sample here).
 BLOCK, QUERIES, SAMPLE = 4096, 256, 8192
