@@ -76,3 +76,21 @@ def test_documents_come_whole(spark):
     mixed = [tuple(r) for r in out.collect()]
     assert set(mixed) <= given and len(mixed) > 0
     assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(None, f"same words here {i % 2}", "hot") for i in range(600)] + [(i, f"own {i} " * (1 + i % 9), "hot") for i in range(300)]
+    docs = spark.createDataFrame([(*r, "k") for r in rows + [(1000 + i, "b " * 40, None) for i in range(50)]], "doc_id long, text string, source string, unit string")
+    size, goal = defaultdict(int), defaultdict(int)
+    for r in docs.collect():
+        size[r.source] += words(r.text)
+    counts = defaultdict(int)
+    for r in mixing.mix_documents(docs).collect():
+        goal[r.source] += words(r.text)
+        counts[r] += 1
+    want = brute(dict(size))
+    assert all(abs(goal[s] - want[s]) <= 80 for s in want)
+    rate = want["hot"] / size["hot"]
+    for i in range(2):
+        taken = counts[None, f"same words here {i}", "hot", "k"]
+        assert abs(taken - 300 * rate) <= 1

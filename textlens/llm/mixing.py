@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlens.llm.common import stored, word_count
@@ -118,16 +118,17 @@ def choose(units: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def mix(units: DataFrame, whole: bool, **settings: object) -> DataFrame:
-    """``units`` (unit, source, size) with source_size, target, copies and taken.
+    """``units`` (unit, source, size; if ``whole`` also n, the number of like documents) with source_size, target, copies, taken.
 
-    Each unit is taken floor(target / source_size) times or once more, as the cube method picks. The at most two units of
-    a source that stay fractional land by their fraction: of one more copy its words up to that share are taken, or, if
-    ``whole``, a copy if the share is at least one half.
+    A unit of n documents is taken floor(n * target / source_size) times or once more, as the cube method picks. The at most
+    two units of a source that stay fractional land by their fraction: of one more copy its words up to that share are
+    taken, or, if ``whole``, a copy if the share is at least one half.
     """
-    goals = targets(units.select("source", "size"), **settings)
+    n = F.col("n") if whole else F.lit(1)
+    goals = targets(units.select("source", (F.col("size") * n).alias("size")), **settings)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goals = goals.withColumn("rate", rate).withColumnRenamed("source", "_s")
-    joined = units.join(goals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    joined = units.join(goals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("rate", F.col("rate") * n)
     base = F.floor(F.col("rate") + _EPS)
     joined = joined.withColumn("base", base).withColumn("chance", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
     moved = choose(joined.drop("rate"))
@@ -150,12 +151,25 @@ def mixture(documents: DataFrame) -> DataFrame:
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
-    """``documents`` as often as the mix takes them, whole; same columns. Repeated rows are documents of their own."""
-    key = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")))
-    packed = documents.select(F.struct("*").alias("row"), key.alias("key"), "source", word_count(F.col("text")).alias("size"))
-    same = F.row_number().over(Window.partitionBy("key").orderBy("source"))
-    rows = stored(packed.withColumn("unit", F.xxhash64("key", same)), "named")
-    chosen = mix(rows.select("unit", "source", "size"), whole=True).filter("copies > 0")
-    chosen = stored(chosen.select("unit", F.col("copies").cast("int").alias("copies")), "chosen")
-    full = rows.select("unit", "row").join(chosen, "unit").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return full.select("row.*")
+    """``documents`` as often as the mix takes them, whole; same columns.
+
+    Rows of the same doc_id, text and source are one unit of several documents; its copies are dealt evenly to its rows.
+    Only names, sources and sizes are shuffled to choose; texts are read again once it is known how often each is taken.
+    """
+    digest = F.xxhash64("doc_id", "text", "source", F.col("text").isNull(), F.col("doc_id").isNull())
+    unit = F.concat_ws("/", digest.cast("string"), "source").alias("unit")
+    sizes = documents.select(unit, "source", word_count(F.col("text")).alias("size"))
+    units = stored(sizes.groupBy("unit", "source").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("n")), "units")
+    chosen = stored(mix(units, whole=True).filter("copies > 0").select("unit", "n", "copies"), "chosen")
+    rows = documents.select(unit, F.struct("*").alias("row"))
+    out = rows.join(chosen.filter("n = 1"), "unit").select("row", "copies")
+    several = chosen.filter("n > 1")
+    if not several.isEmpty():
+        same = stored(rows.join(several, "unit").withColumn("id", F.monotonically_increasing_id()), "same")
+        places = stored(global_index(same.select("unit", "id", "n", "copies"), [F.col("unit"), F.col("id")], "place"), "places")
+        first = places.groupBy("unit").agg(F.min("place").alias("first"))
+        more = (F.col("place") - F.col("first") < F.col("copies") % F.col("n")).cast("bigint")
+        dealt = places.join(first, "unit").select("id", (F.floor(F.col("copies") / F.col("n")) + more).alias("copies"))
+        out = out.union(same.select("row", "id").join(dealt.filter("copies > 0"), "id").select("row", "copies"))
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return out.select("row", times.alias("copy")).select("row.*")
