@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from functools import cached_property
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -16,8 +16,8 @@ from textlens.llm.common import map_columns, process_cache
 
 #: Characters of a part of unsplit text, and tokens on each side of a join in the first window.
 LEAF, WINDOW = 512, 4
-#: Words whose tokens a Python worker remembers before it forgets them all; results do not depend on it.
-MEMO = 150_000
+#: Words whose tokens a Python worker remembers before it forgets those not seen since the last time; results do not depend on it.
+MEMO = 100_000
 
 
 class Codec:
@@ -39,6 +39,7 @@ class Codec:
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.names = {i: piece for piece, i in self.whole.get_vocab(with_added_tokens=True).items()}
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.earlier: dict[str, tuple[bytes, str]] = {}
 
     @cached_property
     def bare(self) -> tuple[Tokenizer, Tokenizer]:
@@ -106,7 +107,7 @@ class Codec:
     def word(self, word: str) -> tuple[bytes, str]:
         """Ids as little-endian numbers, and the decoded text, of a text without spaces and line ends."""
         ids = self.ids(word)
-        return np.array(ids, "<u4").tobytes(), " ".join(self.names[i] for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids of a text as little-endian numbers, and the text that decoding them gives."""
@@ -114,10 +115,11 @@ class Codec:
         for word in (text or "").replace("\n", " ").split(" "):
             made = known.get(word)
             if made is None:
-                made = self.word(word)
+                made = self.earlier.get(word) or self.word(word)
                 if len(word) <= 64:
                     if len(known) > MEMO:
-                        known.clear()
+                        self.earlier, self.known = known, {}
+                        known = self.known
                     known[word] = made
             parts.append(made)
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
