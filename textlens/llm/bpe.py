@@ -17,7 +17,14 @@ from textlens.llm.common import map_columns, process_cache
 #: Characters of a part of unsplit text, and tokens on each side of a join in the first window.
 LEAF, WINDOW = 512, 4
 #: Words whose tokens a Python worker remembers before it forgets those not seen since the last time; results do not depend on it.
-MEMO = 100_000
+MEMO = 250_000
+#: Letters that lower-casing and composition treat one by one.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+LETTERS = re.compile(f"[{LATIN}]+")
+#: What lies between spaces and line ends; and the same, cut also between such letters and the ASCII mark after them, where
+#: the tokenizer always splits (outside of special tokens).
+WORDS = re.compile(r"[^ \n]+")
+PIECES = re.compile(rf"[{LATIN}]++(?=[ \n!-/:-@\[-`{{-~]|\Z)|[^ \n]+")
 
 
 class Codec:
@@ -38,8 +45,9 @@ class Codec:
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.names = {i: piece for piece, i in self.whole.get_vocab(with_added_tokens=True).items()}
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.earlier: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
+        self.earlier: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
 
     @cached_property
     def bare(self) -> tuple[Tokenizer, Tokenizer]:
@@ -106,23 +114,42 @@ class Codec:
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Ids as little-endian numbers, and the decoded text, of a text without spaces and line ends."""
-        ids = self.ids(word)
+        if word.isascii() and word.isalpha() and word.islower() and len(word) <= self.leaf:
+            ids = [token.id for token in self.whole.model.tokenize(word)]
+        else:
+            ids = self.ids(word)
         return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
 
+    def learn(self, word: str) -> None:
+        """Remembers what `word` gives; a word of upper and lower case shares it with its lower case."""
+        if word in self.earlier[0]:
+            self.known[word], self.shown[word] = self.earlier[0][word], self.earlier[1][word]
+            return
+        lower = word.lower() if LETTERS.fullmatch(word) else word
+        if lower != word:
+            if lower not in self.known:
+                self.learn(lower)
+            self.known[word], self.shown[word] = self.known[lower], self.shown[lower]
+        else:
+            self.known[word], self.shown[word] = self.word(word)
+
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids of a text as little-endian numbers, and the text that decoding them gives."""
-        known, parts = self.known, []
-        for word in (text or "").replace("\n", " ").split(" "):
-            made = known.get(word)
-            if made is None:
-                made = self.earlier.get(word) or self.word(word)
-                if len(word) <= 64:
-                    if len(known) > MEMO:
-                        self.earlier, self.known = known, {}
-                        known = self.known
-                    known[word] = made
-            parts.append(made)
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
+        text = text or ""
+        words = (WORDS if self.special and self.special.search(text) else PIECES).findall(text)
+        ids = list(map(self.known.get, words))
+        new = {word for word, found in zip(words, ids, strict=True) if found is None} if None in ids else ()
+        for word in new:
+            self.learn(word)
+        if new:
+            ids = list(map(self.known.get, words))
+        made = b"".join(ids), " ".join(filter(None, map(self.shown.get, words)))
+        for word in new:
+            if len(word) > 64:
+                del self.known[word], self.shown[word]
+        if len(self.known) > MEMO:
+            self.earlier, self.known, self.shown = (self.known, self.shown), {}, {}
+        return made
 
 
 def load(path: str) -> Codec:
