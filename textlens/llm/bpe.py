@@ -17,7 +17,7 @@ from textlens.llm.common import map_columns, process_cache
 #: Characters of a part of unsplit text, and tokens on each side of a join in the first window.
 LEAF, WINDOW = 512, 4
 #: Words whose tokens a Python worker remembers before it forgets those not seen since the last time; results do not depend on it.
-MEMO = 250_000
+MEMO = 100_000
 #: Letters that lower-casing and composition treat one by one.
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 LETTERS = re.compile(f"[{LATIN}]+")
