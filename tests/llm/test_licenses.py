@@ -60,3 +60,28 @@ def test_common_words_and_long_repeats(spark):
     rows = [(1, "under the mit license " * 3000), (2, "of the license " * 5000)]
     got = check(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got[1].n_base == 3000 and got[2].labels == ""
+
+
+def test_no_license_text_gives_another_label(spark):
+    kin = {
+        "": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        " ": licenses.TEMPLATES["gpl"].replace("GNU General", "GNU Lesser General"),
+        "  ": licenses.TEMPLATES["mit"].replace("deal in", "deal with"),
+        "   ": licenses.TEMPLATES["apache-2"].replace("Apache", "Educational Community"),
+    }  # near to a license text, but another license
+    named = [*licenses.TEMPLATES.items(), *kin.items()]
+    named.append(("cc-by-nc", licenses.TEMPLATES["cc-by-nc"].replace("NonCommercial", "Non Commercial")))
+    named.append(("cc-by,cc-by-nc", licenses.TEMPLATES["cc-by"] + ". " + licenses.TEMPLATES["cc-by-nc"]))
+    rows = [(i, "Some words. " + text + ". More words.") for i, (_, text) in enumerate(named)]
+    got = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    for i, (name, _) in enumerate(named):
+        assert set(got[i].labels.split(",")) - set(got[i].base_labels.split(",")) <= set(name.strip().split(",")), (name, got[i])
+        assert set(got[i].labels.split(",")) - {""} >= set(name.strip().split(",")) - {""}, (name, got[i])
+
+
+def test_template_places_count_once_and_wide_runs_are_kept(spark):
+    often = "a " + "creative commons attribution " * 5 + "4 0 international"  # one k-gram on five neighbouring diagonals
+    wide = "this source code " * 60 + licenses.TEMPLATES["mpl-2"]  # the license stands at the end of a long run
+    got = check(spark.createDataFrame([(1, often), (2, wide)], "doc_id long, text string"))
+    assert got[1].labels == "" and got[1].score == 5 / 11
+    assert got[2].labels == "mpl-2" and got[2].score == 1.0

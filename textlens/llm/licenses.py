@@ -1,4 +1,5 @@
-"""License scans: word k-grams of documents vote for places in license texts, diagonal by diagonal."""
+"""License scans: word k-grams of documents vote for places in license texts, diagonal by diagonal; the spans that votes
+point to are then aligned with the license text, word for word."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlens.llm.common import map_columns, stored
+from textlens.llm.common import map_columns, small_side, stored
 
 K = 3
 #: Phrases that give their label wherever their words stand one after another (fixed values).
@@ -33,6 +34,21 @@ TEMPLATES = {
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
 }
+#: Words that tell a license from its kin: (needed, barred) in the aligned span (fixed values). Two neighbouring words also
+#: count written as one, so that "Non-Commercial" is "noncommercial".
+_OTHER_CC = {"sharealike", "noderivatives", "noderivs", "sa", "nd"}
+TELLS: dict[str, tuple[set[str], set[str]]] = {
+    "mit": ({"deal"}, {"dealwith"}),  # NCSA grants "to deal with the Software"
+    "apache-2": ({"apache", "2"}, set()),
+    "gpl": ({"gnu"}, {"lesser", "affero", "gnulibrary"}),
+    "mpl-2": ({"mozilla", "2"}, set()),
+    "isc": ({"provided"}, set()),
+    "unlicense": ({"unencumbered"}, set()),
+    "cc-by": ({"attribution"}, {"noncommercial", "nc"} | _OTHER_CC),
+    "cc-by-nc": ({"attribution", "noncommercial"}, _OTHER_CC),
+}
+#: A span may stretch over this many times the k-grams of its license text.
+STRETCH = 1.5
 #: Diagonals at most this far apart are one match with words put in or left out.
 NEAR = 3
 #: Least share of a license text's k-grams that a match must hold to give its label.
@@ -96,25 +112,107 @@ def row_key():
 
 
 def merged_matches(votes: DataFrame) -> DataFrame:
-    """Neighbouring diagonals of a document and license text, at most `NEAR` apart and `size` words long together, as one
-    match: key, template, label, base, size, votes, low, high, share."""
+    """Neighbouring diagonals of a document and license text, at most `NEAR` apart, as one span to be aligned: key,
+    template, label, size, lines (diagonals), votes (of all diagonals, so one template place may count more than once),
+    low, high."""
     order = Window.partitionBy("key", "template").orderBy("diagonal")
     gap = (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR) | F.lag("diagonal").over(order).isNull()
     runs = votes.withColumn("fresh", gap.cast("int")).withColumn("run", F.sum("fresh").over(order))
-    match = runs.groupBy("key", "template", "label", "base", "size", "run").agg(
-        F.sum("votes").alias("votes"), F.max("votes").alias("best"), F.min("low").alias("low"), F.max("high").alias("high")
+    return runs.groupBy("key", "template", "label", "size", "run").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    share = F.least(F.col("votes") / F.col("size"), F.lit(1.0))
-    return match.withColumn("share", share)
+
+
+def gram_places(words: list[bytes]) -> dict[tuple[bytes, ...], int]:
+    """Each run of K words with its places as bits."""
+    places: dict[tuple[bytes, ...], int] = {}
+    for at in range(len(words) - K + 1):
+        gram = tuple(words[at : at + K])
+        places[gram] = places.get(gram, 0) | 1 << at
+    return places
+
+
+def aligned_spans(words: list[bytes], low: int, high: int, places: dict[tuple[bytes, ...], int], size: int):
+    """(k-grams in common order, first word, last word) of the best alignment from every k-gram of ``words`` between the
+    places low and high that the license text has, over at most `STRETCH` times its size.
+
+    Each place of the license text and of the words is used once: this is the longest common subsequence of the k-grams
+    themselves (not of their hashes), one bit for each place of the license text.
+    """
+    hits = [(at, places[g]) for at in range(low, high + 1) if (g := tuple(words[at : at + K])) in places]
+    full = (1 << size) - 1
+    for i, (start, _) in enumerate(hits):
+        free, end = full, start
+        for at, bits in hits[i:]:
+            if at - start > STRETCH * size:
+                break
+            use = free & bits
+            left = ((free + use) | (free - use)) & full
+            if left.bit_count() < free.bit_count():
+                end = at
+            free = left
+        yield size - free.bit_count(), start, end + K - 1
+
+
+def tells(label: str, words: list[bytes]) -> bool:
+    """Whether the words of a span hold all that its label needs and nothing that tells of another license."""
+    needed, barred = TELLS.get(label, (set(), set()))
+    own = {w.decode("utf-8", "replace") for w in words}
+    own |= {(a + b).decode("utf-8", "replace") for a, b in zip(words, words[1:])}
+    return needed <= own and not barred & own
+
+
+def best_labels(found: list[tuple[float, int, int, str]]) -> list[str]:
+    """Labels of spans (share, first word, last word, label), where of two that overlap by more than half of the shorter
+    one only that of the larger share counts, the longer one at equal shares."""
+    taken: list[tuple[int, int, str]] = []
+    for _, first, last, label in sorted(found, key=lambda f: (-f[0], f[1] - f[2], f[3], f[1])):
+        for a, b, _ in taken:
+            if 2 * (min(b, last) - max(a, first) + 1) > min(b - a, last - first) + 1:
+                break
+        else:
+            taken.append((first, last, label))
+    return sorted({label for _, _, label in taken})
+
+
+def verified(documents: DataFrame, spans: DataFrame, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
+    """key, share (the largest of an alignment) and more (labels that hold) of the documents that own ``spans``.
+
+    Only texts with a span leave their place: their keys, eight bytes each, are sent to the texts if they are few.
+    """
+    texts = documents.select(row_key().alias("key"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(small_side(spans.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+    own = spans.groupBy("key").agg(
+        F.collect_list("template").alias("template"), F.collect_list("low").alias("low"), F.collect_list("high").alias("high")
+    )  # at most as many as the text has words
+    known = {len(phrases) + i: (label, words_of(text.encode())) for i, (label, text) in enumerate(templates.items())}
+
+    def check(part: dict[str, list]) -> dict[str, object]:
+        grams = {i: gram_places(words) for i, (_, words) in known.items()}
+        shares, labels = [], []
+        for text, *lists in zip(part["text"], part["template"], part["low"], part["high"], strict=True):
+            words, most, found = words_of(text), 0.0, []
+            for i, low, high in zip(*lists, strict=True):
+                label, size = known[i][0], len(known[i][1]) - K + 1
+                for votes, first, last in aligned_spans(words, low, high, grams[i], size):
+                    most = max(most, votes / size)
+                    if votes >= SHARE * size and tells(label, words[first : last + 1]):
+                        found.append((votes / size, first, last, label))
+            shares.append(most)
+            labels.append(best_labels(found))
+        return {"key": part["key"], "share": shares, "more": labels}
+
+    return map_columns(texts.join(own, "key"), "key bigint, share double, more array<string>", check, rows=256)
 
 
 def license_scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row of ``documents``.
 
     A place of a phrase is a diagonal on which all its k-grams vote; n_base counts them, first_word and last_word are the
-    smallest and largest (null without any). A license text gives its label if neighbouring diagonals together hold at
-    least `SHARE` of its k-grams, none spread wider than one and a half times its length. score is 1 with a phrase, else
-    the largest share found. Null texts are empty: 0 words, empty labels, score 0. Repeated rows get the same result;
+    smallest and largest (null without any). The span of neighbouring diagonals is aligned with the license text: it gives its
+    label if at least `SHARE` of the k-grams stand in it in order, each once, over at most `STRETCH` times their number,
+    the words that tell it from its kin (`TELLS`) hold, and no other license text fits the same words better. score is 1
+    with a phrase, else the largest share aligned, with or without a label. Null texts are empty: 0 words, empty labels, score 0. Repeated rows get the same result;
     columns other than doc_id and text are ignored; an empty table gives an empty table.
     """
     votes = stored(diagonal_votes(documents, phrases, templates), "votes")
@@ -122,8 +220,12 @@ def license_scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templa
     base = exact.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_base"), F.min("start").alias("first"), F.max("start").alias("last"), F.collect_set("label").alias("own")
     )  # a set of at most as many labels as there are phrases
-    match = merged_matches(votes.filter("NOT base")).filter(F.col("high") - F.col("low") <= 1.5 * F.col("size"))
-    other = match.groupBy("key").agg(F.max("share").alias("share"), F.collect_set(F.when(F.col("share") >= SHARE, F.col("label"))).alias("more"))
+    match = stored(merged_matches(votes.filter("NOT base")), "spans")
+    sure = (F.col("lines") == 1) & (F.col("votes") < SHARE * F.col("size"))  # one diagonal is an alignment already
+    none = F.array().cast("array<string>")
+    under = match.filter(sure).select("key", (F.col("votes") / F.col("size")).alias("share"), none.alias("more"))
+    other = under.union(verified(documents, match.filter(~sure), phrases, templates))
+    other = other.groupBy("key").agg(F.max("share").alias("share"), F.flatten(F.collect_list("more")).alias("more"))
 
     def count(part: dict[str, list]) -> dict[str, object]:
         return {"doc_id": part["doc_id"], "key": part["key"], "n_words": [len(words_of(text)) for text in part["text"]]}
@@ -131,7 +233,6 @@ def license_scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templa
     rows = documents.select("doc_id", row_key().alias("key"), F.col("text").cast("binary").alias("text"))
     rows = map_columns(rows, "doc_id bigint, key bigint, n_words bigint", count, rows=256)
     full = rows.join(base, "key", "left").join(other, "key", "left")
-    none = F.array().cast("array<string>")
     own, more = F.coalesce("own", none), F.coalesce("more", none)
     return full.select(
         "doc_id",
