@@ -1,3 +1,5 @@
+import math
+
 from textlens.llm import urls
 from tests.llm.data import documents
 
@@ -58,3 +60,15 @@ def test_trees_learn_the_labels(spark):
     out = model.trees.transform(urls.features(rows.filter("page_id % 3 = 0"), model.suffixes, model.segments))
     right, total = out.agg(urls.F.sum((urls.F.col("prediction") == urls.F.col("label")).cast("int")), urls.F.count("*")).first()
     assert right / total > 0.95
+
+
+def test_entropy_of_whole_texts(spark):
+    bits = lambda t: -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)) if t else 0.0
+    start = "http://" + "long." * 60 + "com/" + "p/" * 200
+    given = ["", "a", "aaaa", "http://a.com/É𝄞𝄞", start + "a" * 900, start + "".join(chr(200 + i) for i in range(900)), "http://" + "a" * 256 + "xyz.com/"]
+    host, path = urls.url_parts(urls.F.col("url"))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "page_id long, url string")
+    rows = urls.lexical(pages.select("page_id", "url", host.alias("host"), path.alias("path"))).collect()
+    for r in rows:
+        assert abs(r.entropy - bits(r.url)) < 1e-9 and abs(r.host_entropy - bits(r.host)) < 1e-9, r.url[:40]
+    assert len({round(r.entropy, 6) for r in rows if r.url.startswith(start)}) == 2
