@@ -79,5 +79,20 @@ def test_shared_passage_is_found(spark):
     assert all(r.near_next > 0 for r in winnow.fingerprint_edits(docs).collect())
 
 
+def test_shared_unspaced_passage_is_found_at_every_offset(spark):
+    digits = hashlib.sha512(b"passage").hexdigest() * 4
+    texts = {"letters": digits, "chinese": "".join(chr(0x4E00 + int(digits[i : i + 4], 16) % 20000) for i in range(0, 500)), "pairs": "".join(chr(0x20000 + int(c, 16)) for c in digits)}
+    sets = lambda s: {int(x, 16) >> 32 for x in s.split()}
+    for name, passage in texts.items():
+        rows = [(i, "z" * i + passage) for i in range(4)]
+        got = {r.doc_id: sets(r.fingerprint) for r in winnow.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for i in range(1, 4):
+            assert len(got[0] & got[i]) / len(got[0] | got[i]) > 0.8, (name, i)
+        # one shared passage of GRAM + WINDOW - 1 characters is enough
+        short = passage[: winnow.GRAM + winnow.WINDOW - 1]
+        rows = [(i, "q" * (7 + i) + short + "xyz" * (5 + i)) for i in range(2)]
+        assert all(r.near_next > 0 for r in winnow.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()), name
+
+
 def test_empty_table(spark):
     assert winnow.fingerprint_edits(odd_documents(spark, empty=True)).count() == 0

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: A unit is up to this many characters of a word, counted from its start.
-UNIT = 4
-#: Units of a gram; grams of a window. Two texts that share GRAM + WINDOW - 1 units in a row share a fingerprint.
-GRAM, WINDOW = 4, 8
+#: A unit is one character other than white space; grams begin at each of them.
+UNIT = 1
+#: Units of a gram; grams of a window, a multiple of `STEP`. Two texts that share GRAM + WINDOW - 1 units in a row share a
+#: fingerprint, wherever these begin and however white space parts them.
+GRAM, WINDOW = 12, 20
+#: A window's minimum is taken over minima of this many grams.
+STEP = 4
 LOW = 0xFFFFFFFF
 
 
@@ -20,19 +25,22 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     empty. Null is the empty text. Each step is a column of its own, so that none is computed twice.
     """
     rest = [c for c in df.columns]
-    units = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % UNIT), F.lit(0))
-    df = df.select(*rest, F.transform(units, lambda u: F.xxhash64(u)).alias("_units"))
-    count = F.greatest(F.size("_units") - GRAM + 1, F.least(F.size("_units"), F.lit(1)))
+    df = df.select(*rest, F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "").alias("_solid"))
+    each = F.regexp_extract_all("_solid", F.lit(r"(?s)(?=(.{%d}))." % GRAM), F.lit(1))
+    whole = F.when(F.col("_solid") == "", F.array().cast("array<string>")).otherwise(F.array("_solid"))
+    grams = F.when(F.char_length("_solid") >= GRAM, each).otherwise(whole)
+
+    def numbered(gram: Column, i: Column) -> Column:
+        return F.shiftleft(F.xxhash64(gram).bitwiseAND(F.lit(0x7FFFFFFF)), 32) + (F.lit(LOW) - i)
 
-    def gram(i: Column) -> Column:
-        hashed = F.xxhash64(*[F.get("_units", i + j) for j in range(GRAM)])
-        return F.shiftleft(hashed.bitwiseAND(F.lit(0x7FFFFFFF)), 32) + (F.lit(LOW) - i)
+    def lowest(name: str, jumps: range) -> Callable[[Column], Column]:
+        # beyond the end of a short text get() gives null, which least() passes over
+        return lambda i: F.least(*[F.get(name, i + j) for j in jumps])
 
-    df = df.select(*rest, F.transform(steps(count), gram).alias("_grams"))
-    windows = F.greatest(F.size("_grams") - WINDOW + 1, F.least(F.size("_grams"), F.lit(1)))
-    # beyond the end of a short text get() gives null, which least() passes over
-    lowest = F.transform(steps(windows), lambda i: F.least(*[F.get("_grams", i + j) for j in range(WINDOW)]))
-    return df.select(*rest, F.array_distinct(lowest).alias(name))
+    df = df.select(*rest, F.transform(grams, numbered).alias("_grams"))
+    df = df.select(*rest, F.transform(steps(F.size("_grams")), lowest("_grams", range(STEP))).alias("_few"))
+    windows = F.greatest(F.size("_few") - WINDOW + 1, F.least(F.size("_few"), F.lit(1)))
+    return df.select(*rest, F.array_distinct(F.transform(steps(windows), lowest("_few", range(0, WINDOW, STEP)))).alias(name))
 
 
 def steps(count: Column) -> Column:
@@ -45,7 +53,7 @@ def hashes(chosen: Column) -> Column:
 
 
 def positions(chosen: Column) -> Column:
-    """Where each chosen gram begins, in units."""
+    """Where each chosen gram begins, in units (characters other than white space)."""
     return F.transform(chosen, lambda x: F.lit(LOW) - x.bitwiseAND(F.lit(LOW)))
 
 
