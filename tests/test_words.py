@@ -161,3 +161,17 @@ def test_load_saved_state(spark, tmp_path):
     (tmp_path / "vocab.txt").write_text("".join(f"word{i}\n" for i in range(6)))
     got = load_space_files(spark, str(tmp_path / "w.npy"), str(tmp_path / "vocab.txt"), 4).orderBy("idx").collect()
     assert [(r.word, list(r.vec)) for r in got] == [(f"word{i}", matrix[i].tolist()) for i in range(6)]
+
+
+def test_embeddings_by_bucket_leave_rounds_to_the_corpus(spark, monkeypatch):
+    from textlens.plans import PLANS, learning
+
+    asked = {}
+
+    def train(lines, vocabulary_of, **options):
+        asked.update(options)
+        return lines.selectExpr("bucket", "1 AS idx", "'w' AS word", "array(1.0) AS vec")
+
+    monkeypatch.setattr(learning, "train_by_bucket", train)
+    PLANS["embeddings_by_bucket"].run(spark, "/root/testdata/sf0.001")
+    assert asked.get("rounds") is None and asked["dim"] == 16

@@ -199,5 +199,5 @@ def _embeddings_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     def vocabulary_of(lines: DataFrame) -> DataFrame:
         return vocabulary(ordered_word_counts(token_rows(lines)))
 
-    spaces = train_by_bucket(posts, vocabulary_of, dim=16, window=2, rounds=2, seed=SEED)
+    spaces = train_by_bucket(posts, vocabulary_of, dim=16, window=2, seed=SEED)
     return spaces.select("bucket", "idx", "word", F.posexplode("vec").alias("dim", "value"))
