@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from textlens.llm import sql
 from textlens.llm.bpe import bpe
 from textlens.llm.chat import chat_format
 from textlens.llm.common import read
 from textlens.llm.dedup import near_duplicates
 from textlens.llm.licenses import license_scan
+from textlens.llm.merkle import manifest
 from textlens.llm.mixing import mixture
+from textlens.llm.negatives import hard_negatives
 from textlens.llm.neighbours import nearest
+from textlens.llm.shards import shard
 from textlens.llm.token_counts import token_counts
 from textlens.llm.toxicity import toxicity
 from textlens.llm.urls import url_filter
@@ -64,11 +68,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(read(spark, sf_dir, "documents")).drop("copied")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash, op2_toxicity, op3_winnowing, op4_chat, op5_licenses, op6_urls, op7_tokens, op8_mixing, op9_neighbours, op10_bpe,
+        op11_negatives, op12_shards, op13_merkle,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_negatives": sql.NEGATIVES, "op13_merkle": sql.merkle()}
