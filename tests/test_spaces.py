@@ -6,7 +6,6 @@ from textlens.operators import space as sp
 from textlens.operators.communities import communities, modularity
 from textlens.operators.graph import choose_alpha, hop_distances, infinity_hop, k_hop_graph
 from textlens.operators.similarity import most_similar_batch, similarity_pairs
-from textlens.operators.train import space_of, train_embeddings
 from textlens.operators.vocab import ordered_word_counts, token_rows, vocabulary
 
 
@@ -115,19 +114,3 @@ def test_planted_communities_are_found(spark):
     assert len(groups) == 4 and all(len(g) == 1 for g in groups.values())
     assert all(name == min(r.idx for r in found.collect() if r.community == name) for name in groups)
     assert modularity(edges, found).first()[0] == pytest.approx(modularity(edges, planted).first()[0])
-
-
-def test_training_brings_companions_together(spark):
-    rng = np.random.default_rng(2)
-    sides = [[f"a{i}" for i in range(6)], [f"b{i}" for i in range(6)]]
-    texts = [(n, " ".join(rng.choice(sides[n % 2], 8))) for n in range(600)]
-    lines = spark.createDataFrame(texts, "line_id bigint, text string")
-    vocab = vocabulary(ordered_word_counts(token_rows(lines)), threshold=10.0)
-    weights, log = train_embeddings(
-        lines, vocab, dim=8, window=3, epochs=2, rounds=2, batch_size=32, initial_lr=0.1, seed=4, chunk_pairs=1 << 13
-    )
-    assert [r["step"] for r in log] == [0, 1, 2, 3] and log[-1]["loss"] < log[0]["loss"]
-    near = most_similar_batch(space_of(weights), space_of(weights), 3)
-    names = {r.idx: r.word for r in weights.collect()}
-    same = [names[r.query][0] == names[r.idx][0] for r in near.collect()]
-    assert np.mean(same) > 0.9

@@ -21,6 +21,7 @@ from textlens.operators.vocab import (
     vocabulary,
     word_frequency,
 )
+from textlens.plans import PLANS
 from textlens.sources.spaces import load_space_files, load_tokenizer_state
 
 
@@ -87,11 +88,26 @@ def test_negative_draws_follow_the_law(spark):
 
 
 def test_pairs_in_order(spark):
-    rows = spark.createDataFrame([(0, [4, 3, 5, 5, 2]), (1, [7]), (2, [])], "line_id int, seq array<int>")
-    got = skipgram_pairs(rows, 2).orderBy("line_id", "pos", "context_pos").collect()
-    assert [[r.target, r.context] for r in got] == [
-        [4, 3], [4, 5], [3, 4], [3, 5], [3, 5], [5, 4], [5, 3], [5, 5], [5, 2], [5, 3], [5, 5], [5, 2], [2, 5], [2, 5],
-    ]
+    sequences = {0: [8, 1, 6, 6, 9, 2, 1], 1: [7], 2: [], 3: [4, 4]}
+    rows = spark.createDataFrame(list(sequences.items()), "line_id int, seq array<int>")
+    got = skipgram_pairs(rows, 3).orderBy("line_id", "pos", "context_pos").collect()
+    expected = [
+        (line, i, j, seq[i], seq[j])
+        for line, seq in sequences.items()
+        for i in range(len(seq))
+        for j in range(max(0, i - 3), min(len(seq), i + 4))
+        if i != j
+    ]
+    assert [tuple(r) for r in got] == expected
+
+
+@pytest.mark.parametrize("name", ["encode", "subsample", "skipgram_pairs", "skipgram_dynamic"])
+def test_text_chain_runs_once(spark, name):
+    """Filters on sequences stay above the lookup of words and the draws, so neither is computed twice."""
+    plan = PLANS[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("(?i)(https?") <= 2
+    if name == "subsample":
+        assert plan.count("md5(") == 1
 
 
 def test_batches_are_whole(spark):
@@ -161,17 +177,3 @@ def test_load_saved_state(spark, tmp_path):
     (tmp_path / "vocab.txt").write_text("".join(f"word{i}\n" for i in range(6)))
     got = load_space_files(spark, str(tmp_path / "w.npy"), str(tmp_path / "vocab.txt"), 4).orderBy("idx").collect()
     assert [(r.word, list(r.vec)) for r in got] == [(f"word{i}", matrix[i].tolist()) for i in range(6)]
-
-
-def test_embeddings_by_bucket_leave_rounds_to_the_corpus(spark, monkeypatch):
-    from textlens.plans import PLANS, learning
-
-    asked = {}
-
-    def train(lines, vocabulary_of, **options):
-        asked.update(options)
-        return lines.selectExpr("bucket", "1 AS idx", "'w' AS word", "array(1.0) AS vec")
-
-    monkeypatch.setattr(learning, "train_by_bucket", train)
-    PLANS["embeddings_by_bucket"].run(spark, "/root/testdata/sf0.001")
-    assert asked.get("rounds") is None and asked["dim"] == 16

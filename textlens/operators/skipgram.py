@@ -15,30 +15,40 @@ from textlens.functions.text import tokenize
 from textlens.functions.vector import dot, interpolate, softplus
 from textlens.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
 from textlens.operators.ranking import global_index, running_total
-from textlens.operators.vocab import UNKNOWN, sequences, token_rows, word_lookup
+from textlens.operators.vocab import UNKNOWN, sequences, word_lookup
 from textlens.session import materialise
 
 
 def subsample(
-    lines: DataFrame, vocab: DataFrame, seed: int, line: str = "line_id", max_bytes: int = BROADCAST_BYTES
+    lines: DataFrame,
+    vocab: DataFrame,
+    seed: int,
+    line: str = "line_id",
+    max_bytes: int = BROADCAST_BYTES,
+    prefix: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Index sequence per line without unknown words, each kept with its ``sample_prob``.
 
     The draw depends on the line and the position only. Lines that lose all words are left out. Up to ``max_bytes``
-    the vocabulary is sent to the tasks and no word leaves its row; a larger one is joined.
+    the vocabulary is sent to the tasks and no word leaves its row; a larger one is joined. With ``prefix``, a column of
+    text, words are looked up as its value, the character 31 and the word, so that groups of lines have vocabularies of
+    their own. ``keep`` names columns of ``lines`` that stay.
     """
+    words = tokenize(F.col("text"))
+    if prefix is not None:
+        words = F.transform(words, lambda word: F.concat_ws("\x1f", F.col(prefix), word))
     if table_bytes(vocab.select("word", "idx", "sample_prob")) <= max_bytes:
-        words = tokenize(F.col("text"))
-        code, chance = word_lookup(vocab, "idx", "bigint", UNKNOWN), word_lookup(vocab, "sample_prob", "double", -1.0)
-        coded = lines.select(line, code(words).alias("_codes"), chance(words).alias("_chances"))
-        drawn = F.transform(
-            "_codes", lambda idx, pos: F.when(hash_uniform(seed, F.col(line), pos) < F.get("_chances", pos), idx)
-        )
-        return coded.select(line, F.filter(drawn, lambda idx: idx.isNotNull()).alias("seq")).filter(F.size("seq") > 0)
-    tokens = token_rows(lines, [line])
+        look_up = word_lookup(vocab.withColumnRenamed("sample_prob", "chance"), idx=("bigint", UNKNOWN), chance=("double", -1.0))
+        coded = lines.select(line, *keep, look_up(words).alias("_codes"))
+        drawn = F.filter("_codes", lambda code, pos: hash_uniform(seed, F.col(line), pos) < code["chance"])
+        # A generator of one row: the filter on its size stays above the draws, which are made once.
+        kept = coded.select(line, *keep, F.explode(F.array(F.transform(drawn, lambda code: code["idx"]))).alias("seq"))
+        return kept.filter(F.size("seq") > 0)
+    tokens = lines.select(line, *keep, F.posexplode(words).alias("pos", "word"))
     known = lookup_join(tokens, vocab.select("word", "idx", "sample_prob"), ["word"], "inner", max_bytes)
     kept = known.filter(hash_uniform(seed, F.col(line), F.col("pos")) < F.col("sample_prob"))
-    return sequences(kept.select(line, F.struct("pos", "idx").alias("_code")), [line])
+    return sequences(kept.select(line, *keep, F.struct("pos", "idx").alias("_code")), [line, *keep])
 
 
 def _radius(window: int, seed: int | None, line: str, pos: Column) -> Column:
@@ -184,8 +194,9 @@ def sgns_loss(pairs: DataFrame, negatives: DataFrame, weights: DataFrame, keys:
     return joined.select(*keys, "target", "word", "label", loss.alias("loss"))
 
 
-def loss_log(steps: DataFrame, every: int) -> DataFrame:
-    """Mean ``loss`` and last ``learning_rate`` per window of ``every`` steps of ``step, loss, learning_rate``."""
-    return steps.groupBy(F.floor(F.col("step") / every).cast("bigint").alias("log_window")).agg(
+def loss_log(steps: DataFrame, every: int, by: Sequence[str] = ()) -> DataFrame:
+    """Mean ``loss`` and last ``learning_rate`` per window of ``every`` steps of ``step, loss, learning_rate``, within
+    each group of ``by``."""
+    return steps.groupBy(*by, F.floor(F.col("step") / every).cast("bigint").alias("log_window")).agg(
         F.avg("loss").alias("average_loss"), F.max_by("learning_rate", "step").alias("learning_rate")
     )

@@ -36,13 +36,13 @@ def word_counts(tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return tokens.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def ordered_word_counts(tokens: DataFrame, line: str = "line_id") -> DataFrame:
-    """Word counts with ``first_seen``, one number that orders words by first appearance.
+def ordered_word_counts(tokens: DataFrame, line: str = "line_id", by: Sequence[str] = ()) -> DataFrame:
+    """Word counts, within each group of ``by``, with ``first_seen``, one number that orders words by first appearance.
 
     A decimal, unlike a struct, can be a hash aggregation buffer, so the counts need no sort.
     """
     place = F.col(line).cast("decimal(20,0)") * F.lit(POSITIONS).cast("decimal(10,0)") + F.col("pos")
-    return tokens.groupBy("word").agg(
+    return tokens.groupBy(*by, "word").agg(
         F.count(F.lit(1)).alias("freq"), F.min(place.cast("decimal(38,0)")).alias("first_seen")
     )
 
@@ -74,6 +74,20 @@ def vocabulary(
     return ranked.select("word", "idx", "freq", keep_probability(F.col("freq"), corpus_size, threshold).alias("sample_prob"))
 
 
+def bucket_vocabulary(counts: DataFrame, bucket: str = "bucket", min_frequency: int = 0, threshold: float = 1e-3) -> DataFrame:
+    """A vocabulary for each bucket: ``bucket, word, idx, freq, sample_prob``, and ``place``, which counts on through all.
+
+    Words of a bucket are ranked as `vocabulary` does. Rows without a bucket are left out. All buckets are ranked in one
+    sort, so one that holds most words is no hot spot.
+    """
+    frequent = counts.filter((F.col("freq") >= min_frequency) & F.col(bucket).isNotNull())
+    placed = global_index(frequent, [F.col(bucket).asc(), F.col("freq").desc(), F.col("first_seen").asc()], "place")
+    sizes = placed.groupBy(bucket).agg(F.min("place").alias("_start"), F.sum("freq").alias("_total"))
+    joined = lookup_join(placed, sizes, [bucket])
+    chance = keep_probability(F.col("freq"), F.col("_total"), threshold)
+    return joined.select(bucket, "word", (F.col("place") - F.col("_start")).alias("idx"), "freq", chance.alias("sample_prob"), "place")
+
+
 def corpus_size(vocab: DataFrame) -> DataFrame:
     """Number of words in the corpus that are in the vocabulary."""
     return vocab.agg(F.sum("freq").alias("corpus_size"))
@@ -108,23 +122,28 @@ def negative_distribution(vocab: DataFrame, power: float = 0.75) -> DataFrame:
     )
 
 
-def word_lookup(vocab: DataFrame, value: str, kind: str, absent: float) -> Callable[[Column], Column]:
-    """A function from an array of words to the array of their ``value`` in ``vocab``, which is sent to all tasks.
+def word_lookup(vocab: DataFrame, **values: tuple[str, object]) -> Callable[[Column], Column]:
+    """A function from an array of words to the array of their ``values`` in ``vocab``, which is sent to all tasks.
 
-    For vocabularies of a checked size only. Words are looked up in one vectorised call per batch.
+    Each value is named with its kind and what an unknown word has; a single one is returned plain, several as structs.
+    For vocabularies of a checked size only. Words are looked up in one vectorised call per batch. The function counts as
+    non-deterministic, so that filters on its result stay above it: pushed below, they would compute the words again.
     """
-    table = vocab.select("word", F.col(value).cast(kind).alias("value")).toArrow()
-    shared = vocab.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), table["value"].combine_chunks()))
+    table = vocab.select("word", *[F.col(name).cast(kind) for name, (kind, _) in values.items()]).toArrow()
+    shared = vocab.sparkSession.sparkContext.broadcast([column.combine_chunks() for column in table.columns])
+    absent, names = [value for _, value in values.values()], list(values)
 
     def look_up(words: pa.Array) -> pa.Array:
-        known, values = shared.value
+        known, *columns = shared.value
         at = pc.index_in(words.flatten().cast(known.type), value_set=known)
-        found = pc.fill_null(values.take(at), pa.scalar(absent, values.type))
+        found = [pc.fill_null(column.take(at), pa.scalar(none, column.type)) for column, none in zip(columns, absent, strict=True)]
         lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), found)
+        return pa.ListArray.from_arrays(pa.array(ends), found[0] if len(found) == 1 else pa.StructArray.from_arrays(found, names))
 
-    return F.arrow_udf(look_up, f"array<{kind}>")
+    kinds = [kind for kind, _ in values.values()]
+    element = kinds[0] if len(kinds) == 1 else f"struct<{', '.join(f'{n}: {k}' for n, k in zip(names, kinds, strict=True))}>"
+    return F.arrow_udf(look_up, f"array<{element}>").asNondeterministic()
 
 
 def encode(
@@ -136,7 +155,7 @@ def encode(
     larger one is joined.
     """
     if table_bytes(vocab.select("word", "idx")) <= max_bytes:
-        code = word_lookup(vocab, "idx", "bigint", unknown)
+        code = word_lookup(vocab, idx=("bigint", unknown))
         return lines.select(line, code(tokenize(F.col("text"))).alias("seq"))
     tokens = lines.select(line, F.posexplode_outer(tokenize(F.col("text"))).alias("pos", "word"))
     coded = lookup_join(tokens, vocab.select("word", "idx"), ["word"], "left", max_bytes)

@@ -15,8 +15,8 @@ from textlens.operators.skipgram import (
     subsample,
     training_pairs,
 )
-from textlens.operators.train import space_of, train_by_bucket, train_embeddings
-from textlens.operators.vocab import encode, negative_distribution, ordered_word_counts, token_rows, vocabulary
+from textlens.operators.train import STEPS, space_of, train_by_bucket, train_embeddings
+from textlens.operators.vocab import encode, negative_distribution
 from textlens.plans import inputs
 from textlens.plans.corpus import ENCODED, NEGATIVES
 from textlens.plans.inputs import CORPUS, SEED, VOCAB, hash_sql, uniform_sql
@@ -194,10 +194,13 @@ def _train_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("embeddings_by_bucket")
 def _embeddings_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = inputs.posts(spark, sf_dir).select(F.col("id").alias("line_id"), F.col("lang").alias("bucket"), "text")
+    """One space per month of the corpus, all trained in the same rounds."""
+    spaces, _ = train_by_bucket(inputs.corpus(spark, sf_dir), dim=16, window=2, seed=SEED)
+    return spaces.select("bucket", "idx", "word", F.posexplode("vec").alias("dim", "value"))
 
-    def vocabulary_of(lines: DataFrame) -> DataFrame:
-        return vocabulary(ordered_word_counts(token_rows(lines)))
 
-    spaces = train_by_bucket(posts, vocabulary_of, dim=16, window=2, seed=SEED)
-    return spaces.select("bucket", "idx", "word", F.posexplode("vec").alias("dim", "value"))
+@plan("training_log")
+def _training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean loss per round of each month's training, from the records of its steps."""
+    _, records = train_by_bucket(inputs.corpus(spark, sf_dir), dim=8, window=2, seed=SEED)
+    return loss_log(records, STEPS, by=["bucket"])
