@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.vector import cosine
+from textlens.operators.asof import asof_join
 from textlens.operators.joins import lookup_join
 from textlens.operators.ranking import global_index
 from textlens.operators.vocab import word_counts
@@ -74,33 +75,26 @@ def entity_trend(survey: DataFrame, rise: float | None = None) -> DataFrame:
     return trend if rise is None else trend.filter(F.col("change") >= rise)
 
 
-def event_overlay(series: DataFrame, events: DataFrame, window: int = 1, bucket: str = "bucket") -> DataFrame:
+def event_overlay(series: DataFrame, events: DataFrame, window: int = 1, bucket: str = "bucket", **options: object) -> DataFrame:
     """Latest event at or before the end of each month of a series, with the mean ``value`` of the ``window``
     months before the event's month and of as many from it on.
 
-    An event holds from its month until the month of the next one, so events are spread over the months they
-    hold and joined on equality. ``series`` has ``series, bucket, value``; ``events`` has ``day, event``.
+    ``series`` has ``series, bucket, value``; ``events`` has ``day, event``. Both may be large: the event is found by an
+    `asof_join` (which takes ``options``), and the means by one row per series, event and month around it.
     """
-    month = F.trunc("day", "month")
-    by_month = events.groupBy(month.alias("_month")).agg(F.max("day").alias("day"), F.max_by("event", "day").alias("event"))
-    following = F.lead("_month").over(Window.orderBy("_month"))
-    last = F.greatest(series.agg(F.max(bucket)).scalar(), F.col("_month"))
-    until = F.coalesce(F.add_months("_until", -1), last)
-    holds = by_month.withColumn("_until", following).select(
-        "event", "day", "_month", F.explode(F.sequence("_month", until, F.expr("interval 1 month"))).alias(bucket)
-    )
+    by_month = events.groupBy(F.trunc("day", "month").alias("_month")).agg(F.max("day").alias("day"), F.max_by("event", "day").alias("event"))
+    by_month = materialise(by_month, "events")
+    ended = series.select("series", bucket, "value", F.last_day(bucket).alias("_end"))
+    marked = asof_join(ended, by_month, "_end", "day", values=["day", "event"], **options).drop("_end")
 
     offsets = F.sequence(F.lit(-window), F.lit(window - 1))
     around = by_month.select("day", "_month", F.explode(offsets).alias("_offset")).withColumn(
         bucket, F.add_months("_month", F.col("_offset"))
     )
-    means = (
-        series.join(around, bucket)
-        .groupBy("series", "day")
-        .agg(
-            F.avg(F.when(F.col("_offset") < 0, F.col("value"))).alias("mean_before"),
-            F.avg(F.when(F.col("_offset") >= 0, F.col("value"))).alias("mean_after"),
-        )
+    near = around.groupBy(bucket).agg(F.collect_list(F.struct("day", "_offset")).alias("_near"))  # at most 2 * window
+    met = lookup_join(series, near, [bucket]).select("series", "value", F.explode("_near").alias("_near"))
+    means = met.groupBy("series", F.col("_near.day").alias("day")).agg(
+        F.avg(F.when(F.col("_near._offset") < 0, F.col("value"))).alias("mean_before"),
+        F.avg(F.when(F.col("_near._offset") >= 0, F.col("value"))).alias("mean_after"),
     )
-    marked = series.join(holds.drop("_month"), bucket, "left")
     return marked.join(means, ["series", "day"], "left").select("series", bucket, "value", "day", "event", "mean_before", "mean_after")

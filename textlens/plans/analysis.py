@@ -14,6 +14,7 @@ from textlens.operators.stance import (
     stance_from_logits,
     stance_over_time,
 )
+from textlens.operators.asof import asof_join
 from textlens.operators.temporal import entity_trend, event_overlay, similarity_over_time, stance_by_bucket, term_frequency
 from textlens.plans import inputs
 from textlens.plans.inputs import BUCKET_SPACES, POSTS, SCORED, SEED, TOKENS, uniform_sql
@@ -105,7 +106,9 @@ _EVENT_ROWS = ", ".join(f"(DATE '{day}', 'event {n + 1}')" for n, day in enumera
     FROM marked m LEFT JOIN means ON means.series = m.series AND means.bucket = m.bucket""",
 )
 def _event_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = term_frequency(inputs.tokens(spark, sf_dir), ["the", "and", "climate_change"])
+    words = ["the", "and", "climate_change"]
+    # Mentions alone: no other word need be counted.
+    terms = term_frequency(inputs.tokens(spark, sf_dir).filter(F.col("word").isin(words)), words)
     series = terms.select(F.col("word").alias("series"), "bucket", F.col("mentions").alias("value"))
     rows = [(day, f"event {n + 1}") for n, day in enumerate(EVENTS)]
     events = spark.createDataFrame(rows, "day string, event string").withColumn("day", F.to_date("day"))
@@ -114,6 +117,31 @@ def _event_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.select("series", "bucket", "value", shown("day"), shown("event"), *means)
 
 
+def _asof_sql(keep: str) -> str:
+    return f"""WITH bought AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase')
+    SELECT e.event_id, e.user_id, coalesce(b.event_id, -1) AS purchase_id, coalesce(b.value, 0) AS paid
+    FROM (SELECT * FROM events WHERE {keep}) e ASOF LEFT JOIN bought b ON e.user_id = b.user_id AND e.ts >= b.ts"""
+
+
+def _latest_purchase(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+    events = inputs.table(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought_at"), F.col("event_id").alias("purchase_id"), F.col("value").alias("paid"))
+    seen = events.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts")
+    met = asof_join(seen, bought, "ts", "bought_at", by=["user_id"], values=["purchase_id", "paid"], **options)
+    return met.select("event_id", "user_id", F.coalesce("purchase_id", F.lit(-1)).alias("purchase_id"), F.coalesce("paid", F.lit(0.0)).alias("paid"))
+
+
+@plan("latest_purchase", _asof_sql("event_type <> 'purchase'"))
+def _latest_purchase_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _latest_purchase(spark, sf_dir)
+
+
+@plan("latest_purchase_slices", _asof_sql("event_type <> 'purchase'"))
+def _latest_purchase_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for series too large for one task, cut into ranges of time."""
+    return _latest_purchase(spark, sf_dir, slice_rows=64)
+
+
 @plan("stance_from_logits", f"WITH {SCORED} SELECT id, CAST(class AS BIGINT) AS class, CAST(stance AS BIGINT) AS stance, {rounded_sql('confidence')} AS confidence FROM scored")
 def _stance_from_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = stance_from_logits(inputs.scored(spark, sf_dir))
