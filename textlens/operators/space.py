@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from textlens.functions.vector import cosine, doubles, subtract, unit
 from textlens.operators.joins import lookup_join
+from textlens.session import materialise
+
+ORIGIN_ROWS = 1024  # vectors whose mean is the origin of the products of `moments`
 
 
 def mean_vector(vec: Column) -> Column:
@@ -51,31 +54,44 @@ def spherize(space: DataFrame) -> DataFrame:
     return unit_vectors(centred(space))
 
 
-def covariance(space: DataFrame) -> DataFrame:
-    """Sample covariance of the dimensions: rows ``i, j, cov``.
+def moments(space: DataFrame, branches: int = 64) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of vectors, their mean and their sample covariance, in one scan.
 
-    Each partition reduces its rows to one matrix of products; only those are shuffled.
+    Each partition reduces its rows to their sum and one matrix of products, about an origin near the mean (that of a bounded
+    sample) so that nothing cancels. Matrices are merged in a tree, as rows of arrays: partitions into ``branches`` first,
+    then these. Only the result, whose size is that of the dimensions squared, reaches the driver.
     """
+    rows = space.filter(F.col("vec").isNotNull()).select(doubles(F.col("vec")).alias("vec"))
+    origin = rows.limit(ORIGIN_ROWS).agg(mean_vector(F.col("vec")).alias("vec")).first()["vec"]
+    if origin is None:
+        return 0, np.empty(0), np.empty((0, 0))
+    dims = len(origin)
+
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = None, 0
+        # The last column sums up ones, so that its row holds the sums of all dimensions and the number of rows.
+        total = np.zeros((dims + 1, dims + 1))
         for batch in batches:
             if batch.num_rows:
-                block = matrix(batch.column("vec"))
-                total = block.T @ block if total is None else total + block.T @ block
-                rows += block.shape[0]
-        if total is not None:
-            dims = total.shape[0]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "i": pa.array(np.repeat(np.arange(dims), dims), pa.int32()),
-                    "j": pa.array(np.tile(np.arange(dims), dims), pa.int32()),
-                    "s": pa.array(total.ravel(), pa.float64()),
-                    "n": pa.array(np.full(dims * dims, rows), pa.int64()),
-                }
-            )
-
-    parts = centred(space).select("vec").mapInArrow(products, "i int, j int, s double, n bigint")
-    return parts.groupBy("i", "j").agg((F.sum("s") / (F.sum("n") - 1)).alias("cov"))
+                block = np.hstack([matrix(batch.column("vec")) - origin, np.ones((batch.num_rows, 1))])
+                total += block.T @ block
+        ends = np.arange(0, (dims + 1) ** 2 + 1, dims + 1, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims + 1), pa.int32()), pa.ListArray.from_arrays(ends, total.ravel())], ["i", "row"])
+
+    parts = rows.mapInArrow(products, "i int, row array<double>").withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(branches)))
+    summed = vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")
+    merged = parts.groupBy("i", "branch").agg(summed).groupBy("i").agg(summed)
+    total = np.array([r["row"] for r in merged.orderBy("i").collect()])
+    count, sums = total[-1, -1], total[-1, :-1]
+    scatter = total[:-1, :-1] - np.outer(sums, sums) / count
+    return int(count), np.array(origin) + sums / count, scatter / max(count - 1, 1)
+
+
+def covariance(space: DataFrame) -> DataFrame:
+    """Sample covariance of the dimensions: rows ``i, j, cov``, from one scan (see `moments`)."""
+    _, _, cov = moments(space)
+    rows = [(i, row.tolist()) for i, row in enumerate(cov)]
+    spread = space.sparkSession.createDataFrame(rows, "i int, row array<double>")
+    return spread.select("i", F.posexplode("row").alias("j", "cov"))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -87,21 +103,53 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 
 
+@dataclass(frozen=True)
+class Components:
+    """Principal components: the mean, one loading vector per column and the variance along each, falling."""
+
+    mean: np.ndarray
+    loadings: np.ndarray
+    variances: np.ndarray
+
+    @property
+    def ratios(self) -> list[float]:
+        total = self.variances.sum()
+        return (self.variances / total if total > 0 else np.zeros_like(self.variances)).tolist()
+
+
+def principal_components(space: DataFrame) -> Components:
+    """All components of a space, from its covariance. Every component is turned so that its loading of largest size is
+    positive."""
+    _, mean, cov = moments(space)
+    if not len(mean):
+        return Components(mean, cov, mean)
+    variances, loadings = np.linalg.eigh(cov)
+    variances, loadings = np.maximum(variances[::-1], 0.0), loadings[:, ::-1]
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
+    return Components(mean, loadings * signs, variances)
+
+
+def component_scores(space: DataFrame, found: Components, components: int) -> DataFrame:
+    """``idx, word, scores``: the centred vectors on the leading components; words without a vector are left out."""
+    mean, loadings = found.mean, np.ascontiguousarray(found.loadings[:, :components])
+
+    def scores(vectors: pa.Array) -> pa.Array:
+        made = (matrix(vectors) - mean) @ loadings if len(vectors) else np.empty((0, loadings.shape[1]))
+        ends = np.arange(len(vectors) + 1, dtype=np.int32) * made.shape[1]
+        return pa.ListArray.from_arrays(ends, made.ravel())
+
+    held = space.filter(F.col("vec").isNotNull())
+    return held.select("idx", "word", F.arrow_udf(scores, "array<double>")(doubles(F.col("vec"))).alias("scores"))
+
+
 def fit_pca(space: DataFrame, components: int = 10, spherized: bool = True) -> tuple[DataFrame, list[float]]:
     """Scores (``idx, word, scores``) on the leading components and their shares of the variance.
 
-    The data are centred before they are projected, and every component is turned so that its
-    loading of largest size is positive.
+    The space, spherized by default, is stored once, scanned once for the components and once for the scores.
     """
-    base = spherize(space) if spherized else space
-    features = base.select("idx", "word", array_to_vector(doubles(F.col("vec"))).alias("raw"))
-    shifted = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="centred").fit(features).transform(features)
-    model = PCA(k=components, inputCol="centred", outputCol="projected").fit(shifted)
-    loadings = model.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
-    turned = F.zip_with(vector_to_array("projected"), F.array(*[F.lit(float(s)) for s in signs]), lambda x, s: x * s)
-    scores = model.transform(shifted).select("idx", "word", turned.alias("scores"))
-    return scores, [float(x) for x in model.explainedVariance]
+    base = materialise((spherize(space) if spherized else space).select("idx", "word", "vec"), "space")
+    found = principal_components(base)
+    return component_scores(base, found, components), found.ratios[:components]
 
 
 def explained_variance(spark_space: DataFrame, ratios: Sequence[float], chosen: Sequence[int] = ()) -> DataFrame:

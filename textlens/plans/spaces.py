@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlens.functions.vector import norm
+from textlens.functions.vector import dot, norm
 from textlens.operators.similarity import most_similar_batch
 from textlens.operators.space import (
     analogy,
@@ -119,6 +119,40 @@ def _pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("idx", "word", F.posexplode("scores").alias("component", "score"))
 
 
+_AGAIN = f"""WITH {SPACE}, {_SPHERIZED},
+    again AS MATERIALIZED (SELECT s.idx, s.dim, s.value - m.value AS value FROM spherized s
+      JOIN (SELECT dim, avg(value) AS value FROM spherized GROUP BY dim) m ON m.dim = s.dim)"""
+
+
+@plan(
+    "pca_products",
+    f"""{_AGAIN} SELECT a.idx, {rounded_sql('sum(a.value * a.value)', 9)} AS square, {rounded_sql('sum(a.value * b.value)', 9)} AS product
+    FROM again a JOIN again b ON b.idx = 0 AND b.dim = a.dim GROUP BY a.idx""",
+)
+def _pca_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components together turn the space without changing lengths or products."""
+    scores, _ = fit_pca(inputs.space(spark, sf_dir), components=1 << 16)
+    first = scores.filter("idx = 0").select(F.col("scores").alias("_first"))
+    return scores.crossJoin(F.broadcast(first)).select("idx", rounded(dot(F.col("scores"), F.col("scores")), 9).alias("square"), rounded(dot(F.col("scores"), F.col("_first")), 9).alias("product"))
+
+
+@plan(
+    "pca_scatter",
+    f"""{_AGAIN}, cov AS (
+      SELECT a.dim AS i, b.dim AS j, sum(a.value * b.value) / (count(*) - 1) AS cov FROM again a JOIN again b ON a.idx = b.idx GROUP BY 1, 2)
+    SELECT {rounded_sql('sum(CASE WHEN i = j THEN cov END)', 9)} AS variance, {rounded_sql('sum(cov * cov)', 9)} AS squares,
+           CAST(count(DISTINCT i) AS BIGINT) AS uncorrelated FROM cov""",
+)
+def _pca_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores' own covariance: its diagonal has the whole variance, in falling order, and all else is zero."""
+    scores, _ = fit_pca(inputs.space(spark, sf_dir), components=1 << 16)
+    cov = covariance(scores.select(F.col("scores").alias("vec")))
+    own = cov.filter("i = j").agg(F.sum("cov").alias("variance"), F.sum(F.col("cov") * F.col("cov")).alias("squares"))
+    other = cov.groupBy("i").agg(F.max(F.when(F.col("i") != F.col("j"), F.abs("cov")).otherwise(0.0)).alias("rest"))
+    apart = other.filter("rest < 1e-9").agg(F.count(F.lit(1)).alias("uncorrelated"))
+    return own.crossJoin(apart).select(rounded(F.col("variance"), 9).alias("variance"), rounded(F.col("squares"), 9).alias("squares"), "uncorrelated")
+
+
 @plan("pca_variance")
 def _pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = inputs.space(spark, sf_dir)
@@ -132,6 +166,21 @@ def _project_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_words(scores, [0, 1, 2])
 
 
+@plan(
+    "isolate_words",
+    f"""WITH {SPACE}, near AS (
+      SELECT s.idx, s.word, list_cosine_similarity(q.vec, s.vec) AS similarity FROM space s JOIN space q ON q.word = 'w0' AND s.idx <> q.idx
+      ORDER BY similarity DESC, s.idx LIMIT 100)
+    SELECT idx, word, {rounded_sql('similarity')} AS similarity FROM near UNION ALL SELECT idx, word, 1.0 FROM space WHERE word = 'w0'""",
+)
+def _isolate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of an isolated neighbourhood, each with two coordinates."""
+    space = inputs.space(spark, sf_dir)
+    scores, _ = fit_pca(space, components=2)
+    shown = isolate(space, scores, "w0").filter("x IS NOT NULL AND y IS NOT NULL")
+    return shown.select("idx", "word", rounded(F.col("similarity")).alias("similarity"))
+
+
 @plan("isolate")
 def _isolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = inputs.space(spark, sf_dir)
