@@ -6,7 +6,8 @@ that have arrived and leaves the result in a table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,12 @@ from textlens.operators.vocab import token_rows
 from textlens.session import scratch_path
 from textlens.sources.posts import parse_posts, with_bucket
 
+# Names of Spark's settings.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def stream_rows(spark: SparkSession, path: str, glob: str = "*.bz2", files_per_trigger: int = 1000) -> DataFrame:
     """Lines of arriving files as ``value, source_file``."""
@@ -77,29 +84,58 @@ def start(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None =
     return writer.trigger(**(trigger or {"processingTime": "1 minute"})).start(path)
 
 
-def run_available(stream: DataFrame, final: bool = False) -> DataFrame:
-    """Process all that has arrived and read the result back.
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, on the executors' disks, and store what changed at each commit."""
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
-    Windows that the watermark has not passed stay in the state; with ``final`` they are written too,
-    as whole current results, batch by batch into a table of their latest rows.
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process all that has arrived and end; each micro-batch leaves its updated results below ``path``.
+
+    Called again with the same ``checkpoint`` it goes on behind the last committed micro-batch, with the state and the
+    watermark as they were. A micro-batch that is repeated replaces what it has left before.
     """
-    spark = stream.sparkSession
-    path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
-    if not final:
-        start(stream, path, checkpoint, {"availableNow": True}).awaitTermination()
-        return spark.read.schema(stream.schema).parquet(path)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    query.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    updates = spark.read.option("basePath", path).schema(f"{_ddl(stream)}, batch int").parquet(path)
+    with state_on_disk(stream.sparkSession):
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        query.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_updates(stream: DataFrame, path: str) -> DataFrame:
+    """The latest results of all micro-batches of a `running_word_counts` or `running_stance`."""
+    updates = stream.sparkSession.read.option("basePath", path).schema(f"{_ddl(stream)}, batch int").parquet(path)
     values = [c for c in stream.columns if c in ("freq", "value")]
     keys = [c for c in stream.columns if c not in values]
     latest = F.max_by(F.struct(*values), "batch").alias("_latest")
     return updates.groupBy(*keys).agg(latest).select(*keys, "_latest.*")
 
 
+def run_available(stream: DataFrame, final: bool = False) -> DataFrame:
+    """Process all that has arrived and read the result back.
+
+    Windows that the watermark has not passed stay in the state; with ``final`` they are written too,
+    as whole current results, batch by batch into a table of their latest rows.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    if not final:
+        with state_on_disk(spark):
+            start(stream, path, checkpoint, {"availableNow": True}).awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+    run_updates(stream, path, checkpoint)
+    return read_updates(stream, path)
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
