@@ -30,6 +30,21 @@ def test_sampled_classes_follow_the_distribution(spark):
     assert share == pytest.approx(0.75, abs=0.03)
 
 
+def test_classifier_is_kept(spark, tmp_path):
+    """Fitted to its tolerance or to the ceiling, which is told; saved where the user says; measured on unseen texts."""
+    rows = [(i, f"{'good fine' if i % 2 else 'bad poor'} w{i % 17}", i % 2) for i in range(300)]
+    texts = spark.createDataFrame(rows, "id bigint, text string, label int")
+    path = str(tmp_path / "model")
+    found, measured = stance.train_and_evaluate(texts, ["id"], 3, path, features=256)
+    assert found.converged and found.path == path and 0 < found.iterations < 200
+    parts = {r["part"]: r for r in measured.collect()}
+    assert set(parts) == {"train", "validation", "test"} and parts["test"]["accuracy"] == 1.0 and sum(r["texts"] for r in parts.values()) == 300
+    kept = stance.classify(texts, stance.load_classifier(path)).orderBy("id").collect()
+    assert kept == stance.classify(texts, found.model).orderBy("id").collect()
+    cut = stance.train_classifier(texts, features=256, iterations=1)
+    assert not cut.converged and cut.iterations == 1
+
+
 def test_classifier_and_hook(spark):
     texts = [(i, "good fine great" if i % 2 else "bad awful poor", i % 2) for i in range(60)]
     rows = spark.createDataFrame(texts, "id int, text string, label int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,30 +16,73 @@ from pyspark.sql import functions as F
 from textlens.functions.hashing import hash_uniform
 from textlens.functions.text import tokenize
 from textlens.functions.vector import sigmoid
-from textlens.operators.sampling import sample_per_group
+from textlens.operators.sampling import sample_per_group, split_dataset
 from textlens.operators.temporal import stance_by_bucket, weighted_mean
-from textlens.session import scratch_path
+from textlens.session import materialise, scratch_path
 
 # Class index to stance (anti, neutral, news, pro).
 CLASSES = (-1, 0, 2, 1)
 
 
-def fit_classifier(labelled: DataFrame, features: int = 1 << 16, iterations: int = 20, penalty: float = 0.01) -> PipelineModel:
-    """Multinomial logistic regression on weighted word counts of ``text``, trained on ``label``.
+@dataclass(frozen=True)
+class Classifier:
+    """A fitted model, where it is stored, how many iterations it took and whether it met its tolerance by then."""
 
-    The model is stored and read back, which leaves the summary of its training, and the session that one
-    holds, out of the tasks that apply it.
+    model: PipelineModel
+    path: str
+    iterations: int
+    converged: bool
+
+
+def train_classifier(
+    labelled: DataFrame,
+    path: str | None = None,
+    *,
+    features: int = 1 << 16,
+    iterations: int = 200,
+    tolerance: float = 1e-5,
+    penalty: float = 0.01,
+) -> Classifier:
+    """Multinomial logistic regression on weighted word counts of ``text``, trained on ``label`` until the objective
+    changes by less than ``tolerance`` (relative), or for ``iterations``, which the result tells.
+
+    The model is saved at ``path``, by default in the shared folder (where `release_scratch` removes it), and read back,
+    which leaves the summary of its training, and the session that one holds, out of the tasks that apply it.
     """
     stages = [
         HashingTF(numFeatures=features, inputCol="words", outputCol="counts"),
         IDF(inputCol="counts", outputCol="features"),
-        LogisticRegression(family="multinomial", maxIter=iterations, regParam=penalty, rawPredictionCol="raw"),
+        LogisticRegression(family="multinomial", maxIter=iterations, tol=tolerance, regParam=penalty, rawPredictionCol="raw"),
     ]
-    path = scratch_path(labelled.sparkSession, "classifier")
-    Pipeline(stages=stages).fit(_worded(labelled)).write().save(path)
+    path = path or scratch_path(labelled.sparkSession, "classifier")
+    fitted = Pipeline(stages=stages).fit(_worded(labelled))
+    took = fitted.stages[-1].summary.totalIterations
+    fitted.write().overwrite().save(path)
+    return Classifier(load_classifier(path), path, took, took < iterations)
+
+
+def load_classifier(path: str) -> PipelineModel:
+    """A model that `train_classifier` has saved."""
     return PipelineModel.load(path)
 
 
+def fit_classifier(labelled: DataFrame, features: int = 1 << 16, iterations: int = 200, penalty: float = 0.01) -> PipelineModel:
+    """The model of `train_classifier`."""
+    return train_classifier(labelled, features=features, iterations=iterations, penalty=penalty).model
+
+
+def train_and_evaluate(
+    labelled: DataFrame, keys: Sequence[str], seed: int, path: str | None = None, validation: float = 0.2, test: float = 0.2, **options: object
+) -> tuple[Classifier, DataFrame]:
+    """Split labelled texts by their keys, train on one part and measure all: ``part, texts, loss, accuracy``.
+
+    The parts of validation and test have no share in the model; a row's part depends on its keys alone.
+    """
+    parts = materialise(split_dataset(labelled, keys, seed, validation, test).select(*keys, "text", "label", "part"), "parts")
+    found = train_classifier(parts.filter("part = 'train'"), path, **options)
+    return found, evaluate(classify(parts, found.model), by=["part"])
+
+
 def _worded(texts: DataFrame) -> DataFrame:
     return texts.withColumn("words", tokenize(F.col("text")))
 
@@ -95,13 +139,15 @@ def sample_class(scored: DataFrame, keys: Sequence[str], seed: int) -> DataFrame
     return drawn.withColumn("sampled", F.least(passed, F.size("_p") - 1)).drop("_p", "_u")
 
 
-def evaluate(scored: DataFrame) -> DataFrame:
-    """One row: mean cross-entropy ``loss`` and ``accuracy`` of ``logits`` against ``label``."""
+def evaluate(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean cross-entropy ``loss`` and ``accuracy`` of ``logits`` against ``label``: one row, or one with the number of
+    ``texts`` for each group of ``by``."""
     largest = F.array_max("logits")
     total = F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - largest))
     loss = F.log(total) + largest - F.get("logits", F.col("label").cast("int"))
     hit = (best_class(F.col("logits")) == F.col("label")).cast("double")
-    return scored.agg(F.avg(loss).alias("loss"), F.avg(hit).alias("accuracy"))
+    measures = [F.avg(loss).alias("loss"), F.avg(hit).alias("accuracy")]
+    return scored.groupBy(*by).agg(F.count(F.lit(1)).alias("texts"), *measures) if by else scored.agg(*measures)
 
 
 def stance_over_time(

@@ -13,13 +13,16 @@ from textlens.operators.stance import (
     sample_class,
     stance_from_logits,
     stance_over_time,
+    train_and_evaluate,
 )
 from textlens.operators.asof import asof_join
+from textlens.operators.sampling import split_dataset
 from textlens.operators.temporal import entity_trend, event_overlay, similarity_over_time, stance_by_bucket, term_frequency
 from textlens.plans import inputs
 from textlens.plans.inputs import BUCKET_SPACES, POSTS, SCORED, SEED, TOKENS, uniform_sql
 from textlens.plans.registry import plan, rounded, rounded_sql, shown
 from textlens.session import scratch_path
+from textlens.sources.lines import read_labelled_folders, read_survey, write_labelled_folders, write_survey
 from textlens.streaming.jobs import read_updates, run_available, run_updates, running_stance, running_word_counts
 
 
@@ -82,6 +85,20 @@ def _entity_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.select("entity", rounded(F.col("change")).alias("change"))
 
 
+@plan(
+    "survey_trend",
+    f"""WITH weekly AS (SELECT event_type AS entity, (dayofyear(ts) - 1) // 7 AS year, count(*) AS n FROM events GROUP BY ALL)
+    SELECT entity, {rounded_sql('CAST(max_by(n, year) AS DOUBLE) - min_by(n, year)')} AS change FROM weekly GROUP BY entity""",
+)
+def _survey_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends of surveys that lie in CSV files, one per entity."""
+    week = F.floor((F.dayofyear("ts") - 1) / 7).cast("int").alias("year")
+    weekly = inputs.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("entity"), week).agg(F.count(F.lit(1)).cast("double").alias("prop"))
+    path = scratch_path(spark, "survey")
+    write_survey(weekly, path)
+    return entity_trend(read_survey(spark, path)).select("entity", rounded(F.col("change")).alias("change"))
+
+
 # Days of events that the monthly series are read against.
 EVENTS = ["2018-06-08", "2018-09-14", "2019-03-15", "2019-08-19", "2019-09-20", "2019-11-04", "2020-06-12"]
 _EVENT_ROWS = ", ".join(f"(DATE '{day}', 'event {n + 1}')" for n, day in enumerate(EVENTS))
@@ -220,19 +237,45 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("classify")
 def _classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = _labelled(spark, sf_dir)
-    model = fit_classifier(labelled, features=1 << 14, iterations=10)
-    scored = stance_from_logits(classify(labelled, model))
-    return scored.select("doc_id", "label", "class", "stance", "confidence")
+    """All labelled texts, scored by a model that has seen those of the training part alone."""
+    parts = split_dataset(_labelled(spark, sf_dir), ["doc_id"], SEED, 0.2, 0.2)
+    model = fit_classifier(parts.filter("part = 'train'"), features=1 << 14)
+    scored = stance_from_logits(classify(parts, model))
+    return scored.select("doc_id", "part", "label", "class", "stance", "confidence")
 
 
 @plan("stance_over_time")
 def _stance_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit_classifier(_labelled(spark, sf_dir), features=1 << 14, iterations=10)
+    model = fit_classifier(_labelled(spark, sf_dir), features=1 << 14)
     posts = inputs.posts(spark, sf_dir).select("id", "bucket", "text")
     return stance_over_time(posts, lambda texts: classify(texts, model), size=20, seed=SEED)
 
 
+def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents, written to a folder per class and read back."""
+    path = scratch_path(spark, "folders")
+    named = _labelled(spark, sf_dir).withColumn("class", F.concat(F.lit("c"), F.col("label").cast("string")))
+    write_labelled_folders(named, path)
+    return read_labelled_folders(spark, path)
+
+
+@plan(
+    "labelled_folders",
+    """SELECT md5(d.text) AS text_md5, 'c' || (quality + 2 * toxic) AS class, dense_rank() OVER (ORDER BY quality + 2 * toxic) - 1 AS label
+    FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
+)
+def _labelled_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _folders(spark, sf_dir).select(F.md5("text").alias("text_md5"), "class", "label")
+
+
+@plan("train_and_evaluate")
+def _train_and_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders read, split, a model fitted to its tolerance, saved, and measured on what it has not seen."""
+    texts = _folders(spark, sf_dir).withColumn("key", F.md5("text"))
+    found, measured = train_and_evaluate(texts, ["key"], SEED, features=1 << 14)
+    return measured.withColumns({"iterations": F.lit(found.iterations), "converged": F.lit(found.converged)})
+
+
 def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as a file stream of English posts, dated over sixty days."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema

@@ -26,11 +26,11 @@ def bucket_from_path(path: Column) -> Column:
 
 
 def read_labelled_folders(spark: SparkSession, path: str) -> DataFrame:
-    """One text per file, one folder per class: ``text, class, label``; classes are numbered by name."""
+    """One text per file, one folder per class (``<class>`` or ``class=<class>``): ``text, class, label``; classes are
+    numbered by name."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    named = files.select(
-        F.col("value").alias("text"), F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("class")
-    )
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
+    named = files.select(F.regexp_replace("value", "\\x00$", "").alias("text"), F.regexp_replace(folder, "^class=", "").alias("class"))
     return label_by_name(named)
 
 
@@ -48,7 +48,20 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_survey(spark: SparkSession, path: str) -> DataFrame:
-    """Small CSV files ``year,prop``, one per entity: ``entity, year, prop``."""
-    rows = spark.read.schema("year int, prop double").option("header", True).option("pathGlobFilter", "*.csv").csv(path)
-    entity = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*)\.csv$", 1)
-    return rows.select(entity.alias("entity"), "year", "prop")
+    """Small CSV files ``year,prop``: ``entity, year, prop``. The entity is the folder ``entity=<name>`` that a file lies in,
+    or else the name of the file."""
+    rows = spark.read.schema("year int, prop double").option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
+    folder = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "/entity=([^/]*)/[^/]*$", 1)
+    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*)\.csv$", 1)
+    return rows.select(F.when(folder != "", folder).otherwise(name).alias("entity"), "year", "prop")
+
+
+def write_survey(survey: DataFrame, path: str) -> None:
+    """``entity, year, prop`` as CSV files that `read_survey` reads, in a folder per entity."""
+    survey.select("entity", "year", "prop").write.partitionBy("entity").option("header", True).csv(path)
+
+
+def write_labelled_folders(texts: DataFrame, path: str) -> None:
+    """``text, class`` as one file per text and a folder per class, as `read_labelled_folders` reads them."""
+    rows = texts.select("text", "class").filter(F.col("text").isNotNull() & F.col("class").isNotNull())
+    rows.write.partitionBy("class").option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(path)
