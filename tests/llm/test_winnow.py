@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from textlens.llm import winnow
@@ -96,3 +97,23 @@ def test_shared_unspaced_passage_is_found_at_every_offset(spark):
 
 def test_empty_table(spark):
     assert winnow.fingerprint_edits(odd_documents(spark, empty=True)).count() == 0
+
+
+def test_edited_fingerprint_is_that_of_the_whole(spark):
+    """On given, odd and random texts, with ties, blanks at the seam and every short length."""
+    rng = random.Random(7)
+    made = ["".join(rng.choices("ab \n" if i % 2 else "a b", k=rng.choice([*range(200), 500, 2000]))) for i in range(240)]
+    made += ["z" * n for n in (48, 49, 50, 79, 80, 81, 147, 300)] + ["chars " * 700, "", "x"]
+    random_docs = spark.createDataFrame([(5000 + i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    docs = given_and_odd(spark).select("doc_id", "text").union(random_docs)
+    rows = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63), r.text or "") for r in docs.collect()), key=lambda r: (-r[0], r[1]))
+    texts = {}
+    for (_, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        texts[hashlib.sha256(edited.encode()).hexdigest()] = edited
+    whole = spark.createDataFrame(list(texts.items()), "edited_sha256 string, text string")
+    whole = winnow.with_fingerprint(whole, "text", "fp").select("edited_sha256", winnow.written(winnow.F.col("fp")).alias("fp"))
+    expected = {r.edited_sha256: r.fp for r in whole.collect()}
+    got = winnow.fingerprint_edits(docs).collect()
+    assert len(got) == len(rows)
+    assert all(r.edited_fingerprint == expected[r.edited_sha256] for r in got)

@@ -14,6 +14,11 @@ UNIT = 1
 GRAM, WINDOW = 12, 20
 #: A window's minimum is taken over minima of this many grams.
 STEP = 4
+#: Units of a whole window; those before a seam within which windows that reach over it, or picks that only these decide, begin.
+REACH = GRAM + WINDOW - 1
+BACK = REACH + WINDOW - 2
+#: Bytes of text of a range, about, where the session's shuffle partitions would make larger ones.
+RANGE_BYTES = 64 << 20
 LOW = 0xFFFFFFFF
 
 
@@ -69,27 +74,59 @@ def likeness(one: str, two: str) -> Column:
     return F.when(whole == 0, F.lit(1.0)).otherwise(common / whole)
 
 
-def part_below(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` lie under ``value``, by halving steps."""
-    if not bounds:
-        return F.lit(0)
-    table = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    jumps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
-    return F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(F.get(table, at + jump - 1) < value, at + jump).otherwise(at))
+def part_below(value: Column, bounds: Column, count: int) -> Column:
+    """How many of the sorted ``bounds``, at most ``count``, lie under ``value``, by halving steps."""
+    jumps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, count.bit_length())))])
+    return F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(F.get(bounds, at + jump - 1) < value, at + jump).otherwise(at))
+
+
+def joined_fingerprint(df: DataFrame, head: str, tail: str, own: str, other: str, name: str) -> DataFrame:
+    """Adds ``name``: what `with_fingerprint` gives for ``head`` + ``tail``, a prefix of a text with the fingerprint ``own`` and
+    one of a text with the fingerprint ``other``.
+
+    Windows that lie in one of the two chose in its text what they choose here, so picks that only such windows can have
+    made are taken over, those of the tail moved. Two stretches are computed anew: the windows over the seam and those at
+    the end, with as many before as may share their picks. Positions of picks never fall from window to window, so the
+    parts are in order and only what two of them hold is left out.
+    """
+    rest = df.columns
+    df = df.select(*rest, *[F.regexp_replace(F.col(c), r"[\x20\x09-\x0D]+", "").alias(n) for c, n in ((head, "_h"), (tail, "_t"))])
+    df = df.select(*rest, "_h", "_t", F.char_length("_h").alias("_m"), F.char_length("_t").alias("_q"))
+    long_tail = F.col("_q") >= REACH + BACK
+    start = F.greatest(F.col("_m") - BACK, F.lit(0))
+    seam = F.concat(F.expr(f"substring(_h, greatest(_m - {BACK}, 0) + 1)"), F.substring("_t", F.lit(1), F.when(long_tail, F.lit(REACH)).otherwise(F.col("_q"))))
+    end = F.when(long_tail, F.expr(f"substring(_t, _q - {BACK} + 1)")).otherwise(F.lit(""))
+    df = df.select(*rest, "_m", "_q", seam.alias("_seam"), end.alias("_end"))
+    df = with_fingerprint(with_fingerprint(df, "_seam", "_seam_picks"), "_end", "_end_picks")
+
+    def within(picks: str, last: Column) -> Column:
+        return F.filter(picks, lambda x: x.bitwiseAND(F.lit(LOW)) >= F.lit(LOW) - last)
+
+    def moved(picks: Column, by: Column) -> Column:
+        return F.transform(picks, lambda x: x - by)
+
+    none = F.array().cast("array<bigint>")
+    before = F.when(F.col("_m") >= BACK, within(own, F.col("_m") - REACH)).otherwise(none)
+    after = F.when(long_tail, moved(within(other, F.col("_q") - REACH), F.col("_m"))).otherwise(none)
+    parts = [before, moved(F.col("_seam_picks"), start), after, moved(F.col("_end_picks"), F.col("_m") + F.col("_q") - BACK)]
+    return df.select(*rest, F.array_distinct(F.concat(*parts)).alias(name))
 
 
 def in_ranges(documents: DataFrame) -> tuple[DataFrame, WindowSpec]:
     """Rows of ``documents`` with guests, and the window in which the next row is the text next in descending doc_id.
 
-    Rows go to ranges of doc_id (_part), and the first row of the following range (after the last: of the first) comes
+    Rows go to ranges of doc_id (_part) of about `RANGE_BYTES` of text or less, and the first row of the following range (after the last: of the first) comes
     along as a guest (_guest = 1). Only the ranges' bounds, one number each, pass through the driver. Equal doc_ids are
     ordered by text, a row without doc_id comes last.
     """
     spark = documents.sparkSession
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_at"))
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = rows.agg(F.percentile_approx("_at", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    rows = rows.withColumn("_part", part_below(F.col("_at"), sorted(set(bounds))))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    found = rows.agg(F.percentile_approx("_at", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0] or []
+    bounds = sorted(set(found))
+    sent = spark.createDataFrame([(bounds,)], "_bounds array<bigint>")
+    rows = rows.crossJoin(F.broadcast(sent)).withColumn("_part", part_below(F.col("_at"), F.col("_bounds"), len(bounds))).drop("_bounds")
     firsts = sorted((r["_part"], r["first"]) for r in rows.groupBy("_part").agg(F.max("_at").alias("first")).collect())
     firsts.reverse()  # in reading order: the highest range first
     guests = [(to, first) for (to, _), (_, first) in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
@@ -107,7 +144,9 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     descending doc_id, after the last row that of the first. near_edited and near_next are shared over all hashes of two
     fingerprints. Null texts are empty; an empty text has an empty fingerprint, and two empty ones are alike (1.0).
     Equal doc_ids are ordered by text, rows without doc_id come last; a single row is its own next. Columns other than
-    doc_id and text are ignored, an empty table gives an empty table.
+    doc_id and text are ignored, an empty table gives an empty table. A text is one row from end to end, so very long ones
+    cost memory for themselves, about 150 bytes a character. The edited text is fingerprinted from its two parts (see
+    `joined_fingerprint`), with the same result as from the whole.
     """
     both, order = in_ranges(documents)
     marked = with_fingerprint(both, "text", "_own")
@@ -119,9 +158,10 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
         F.lead("text").over(order).alias("_after"),
     ).filter("_guest = 0")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, n_chars - CAST(floor(n_chars / 3) AS INT))"), F.substring("_after", F.lit(1), cut))
-    changed = paired.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "_own", "_next", edited.alias("_edited"))
-    full = with_fingerprint(changed, "_edited", "_new")
+    kept = F.expr("substring(text, 1, n_chars - CAST(floor(n_chars / 3) AS INT))")
+    taken = F.substring("_after", F.lit(1), cut)
+    changed = paired.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "_own", "_next", kept.alias("_kept"), taken.alias("_taken"))
+    full = joined_fingerprint(changed, "_kept", "_taken", "_own", "_next", "_new").withColumn("_edited", F.concat("_kept", "_taken"))
     sets = full.select(
         "doc_id", "n_chars", "_edited", "_own", "_new",
         hashes(F.col("_own")).alias("_a"), hashes(F.col("_new")).alias("_b"), hashes(F.col("_next")).alias("_c"),
