@@ -11,37 +11,47 @@ from textlens.llm.bpe import bpe
 from textlens.llm.common import read, stored
 from textlens.llm.dedup import near_duplicates
 from textlens.llm.mixing import mix_documents
+from textlens.operators.joins import lookup_join
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under one half."""
+    """Documents whose toxicity score is under one half. Null and empty texts have a score as well; repeated rows have
+    equal scores; texts are scored whole, however long. No row in, no row out."""
     model = toxic.learn(docs, read(spark, sf_dir, "labels"))
     return docs.filter(toxic.scorer(spark, model)(F.col("text")) < 0.5)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies (five words, similarity 0.8); rows without doc_id
-    stay. Of rows that share a doc_id one stays, that of the smallest text."""
-    groups = near_duplicates(docs, k=5, percent=80)
-    dropped = stored(groups.filter("NOT kept").select("doc_id").distinct(), "dropped")
-    single = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = stored(rows.join(single.select("doc_id"), "doc_id", "left_semi"), "repeated")
+    """The document of the smallest doc_id of each group of near copies (five words, similarity 0.8).
+
+    Rows that share a doc_id are documents of their own, told apart by a hash of doc_id and text that stands for their
+    doc_id; of rows that are equal in both, one stays. Rows without doc_id stay, as do null, empty and blank texts, once for
+    each doc_id. Texts are compared whole, however long.
+    """
+    counts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = stored(counts.filter("n > 1").select("doc_id", F.lit(True).alias("_shared")), "repeated")
     if repeated.isEmpty():
-        return rows
-    others = [c for c in docs.columns if c != "doc_id"]
-    once = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("row"))
-    once = once.select("doc_id", "row.*").select(*docs.columns)
-    return rows.join(single.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).union(once)
+        dropped = stored(near_duplicates(docs, k=5, percent=80).filter("NOT kept").select("doc_id").distinct(), "dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    own = F.when(F.col("_shared"), F.xxhash64("doc_id", "text", F.col("text").isNull())).otherwise(F.col("doc_id"))
+    rows = stored(lookup_join(docs, repeated, ["doc_id"], "left").withColumn("_row", own), "rows")
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80)
+    dropped = stored(groups.filter("NOT kept").select(F.col("doc_id").alias("_row")).distinct(), "dropped")
+    kept = stored(rows.join(dropped, "_row", "left_anti"), "kept")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    shared = kept.filter("_shared").groupBy("_row").agg(F.min(F.struct("doc_id", "text", *others)).alias("row")).select("row.*")
+    return kept.filter("_shared IS NULL").select(*docs.columns).union(shared.select(*docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them. A null source is a source, the last; null, empty and blank texts
+    have no words and are never taken; repeated rows are documents of their own; texts are not shuffled to choose."""
     return mix_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded texts."""
+    """Token counts and digests of the encoded texts, a row for every row. Null texts are empty and have no tokens; texts
+    are encoded whole, however long."""
     return bpe(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -279,7 +279,7 @@ def _train_and_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as a file stream of English posts, dated over sixty days."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    return _dated(spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
+    return _dated(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*"))
 
 
 def _dated(stream: DataFrame) -> DataFrame:
