@@ -30,6 +30,20 @@ def test_one_of_each_group_stays(spark):
     assert sum(r.doc_id is None for r in after) == 1
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    a, b, c, d = (" ".join(f"{name}{i}" for i in range(40)) for name in "abcd")
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, d), (7, d), (8, None), (8, ""), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.without_copies(spark, docs, SF).collect()]
+    assert Counter(t for i, t in kept if i is not None) == Counter([a, b, c, d, None, ""]) and (None, c) in kept
+    assert set(kept) <= set(rows)
+    # A third of all rows under one id.
+    many = [(1 if i % 3 == 0 else i, " ".join(f"t{i // 2 * 7 + j}" for j in range(7))) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in many], docs.schema)
+    after = corpus_pipeline.without_copies(spark, docs, SF)
+    assert after.count() == after.select("text").distinct().count() == len({t for _, t in many})
+
+
 def test_toxic_documents_go(spark):
     docs = given_and_odd(spark)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
