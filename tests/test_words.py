@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textlens.operators import ranking
 from textlens.operators.joins import lookup_join, salted_lookup_join
 from textlens.operators.sampling import sample_per_group, split_dataset
+from textlens.operators.noise import alias_samples, alias_table
 from textlens.operators.skipgram import negative_samples, sgns_loss, skipgram_pairs, training_pairs
 from textlens.operators.vocab import (
     decode,
@@ -177,3 +178,45 @@ def test_load_saved_state(spark, tmp_path):
     (tmp_path / "vocab.txt").write_text("".join(f"word{i}\n" for i in range(6)))
     got = load_space_files(spark, str(tmp_path / "w.npy"), str(tmp_path / "vocab.txt"), 4).orderBy("idx").collect()
     assert [(r.word, list(r.vec)) for r in got] == [(f"word{i}", matrix[i].tolist()) for i in range(6)]
+
+
+def test_alias_table_gives_every_word_its_weight():
+    rng = np.random.default_rng(3)
+    cases = [[5], [1, 1, 1], [0, 4], [1, 1, 10], [7, 1, 1, 7], [3, 2, 3, 0, 0, 9]]
+    cases += [rng.integers(1, 1000, n).tolist() for n in (2, 17, 400)] + [[int(1e12 / (i + 1)) for i in range(500)]]
+    for weights in cases:
+        keep, other = alias_table(weights)
+        given = keep.copy()
+        np.add.at(given, other, 1 - keep)
+        assert given / len(weights) == pytest.approx(np.array(weights) / sum(weights), abs=1e-12)
+        assert (keep >= 0).all() and (keep <= 1).all()
+
+
+def test_alias_draws(spark):
+    vocab = vocabulary(counts_of(spark, ["a " * 16 + "b b b b c"])).cache()
+    pairs = spark.range(4000).select("id", F.lit(0).cast("bigint").alias("context"))
+    drawn = alias_samples(pairs, vocab, 5, 1, ["id"])
+    shares = {r.negative: r.n / 20000 for r in drawn.groupBy("negative").agg(F.count("*").alias("n")).collect()}
+    for row in negative_distribution(vocab).collect():
+        assert shares[row.idx] == pytest.approx(row.p, abs=0.02)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    others = alias_samples(pairs, vocab, 5, 1, ["id"], exclude_context=True).groupBy("negative").count().collect()
+    counts = {r.negative: r["count"] for r in others}
+    assert sum(counts.values()) == 20000 and set(counts) == {1, 2}
+    assert counts[1] / 20000 == pytest.approx(4**0.75 / (4**0.75 + 1), abs=0.02)
+    # The join takes over for a vocabulary over the bound, by the same law.
+    joined = alias_samples(pairs, vocab, 5, 1, ["id"], max_bytes=0)
+    assert joined.columns == drawn.columns and joined.count() == 20000
+
+
+def test_alias_draws_at_the_edges(spark):
+    one = vocabulary(counts_of(spark, ["a a"]))
+    pairs = spark.createDataFrame([(None, 0), (1, 0), (1, None)], "id bigint, context bigint")
+    assert [r.negative for r in alias_samples(pairs, one, 2, 1, ["id"]).collect()] == [0] * 6
+    alone = alias_samples(pairs, one, 2, 1, ["id"], exclude_context=True).collect()
+    assert sorted((r.context is None, r.negative) for r in alone if r.context is None) == [(True, 0)] * 2
+    assert [r.negative for r in alone if r.context is not None] == [None] * 4
+    assert alias_samples(pairs.limit(0), one, 2, 1, ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        alias_samples(pairs, one.limit(0), 2, 1, ["id"])

@@ -106,12 +106,17 @@ def top_words(counts: DataFrame, n: int | None = None) -> DataFrame:
     return ordered if n is None else ordered.limit(n)
 
 
+def noise_weights(vocab: DataFrame, power: float = 0.75) -> DataFrame:
+    """``idx, word, weight``: ``freq^power`` of each word with nine decimals."""
+    return vocab.select("idx", "word", F.pow("freq", F.lit(power)).cast("decimal(28,9)").alias("weight"))
+
+
 def negative_distribution(vocab: DataFrame, power: float = 0.75) -> DataFrame:
     """Probability ``freq^power / sum`` per word, with the interval [``low``, ``high``) it owns in [0, 1).
 
     Weights are summed as decimals, so neighbouring intervals meet exactly whatever the summation order.
     """
-    weighted = vocab.select("idx", "word", F.pow("freq", F.lit(power)).cast("decimal(28,9)").alias("_weight"))
+    weighted = noise_weights(vocab, power).withColumnRenamed("weight", "_weight")
     total = weighted.agg(F.sum("_weight")).scalar().cast("double")
     return running_total(weighted, "idx", "_weight", "_below").select(
         "idx",

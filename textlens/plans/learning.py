@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlens.operators.noise import DIGITS, alias_samples
 from textlens.operators.skipgram import (
     learning_rate,
     line_progress,
@@ -21,6 +22,7 @@ from textlens.plans import inputs
 from textlens.plans.corpus import ENCODED, NEGATIVES
 from textlens.plans.inputs import CORPUS, SEED, VOCAB, hash_sql, uniform_sql
 from textlens.plans.registry import plan, rounded, rounded_sql
+from textlens.session import materialise
 
 WINDOW = 3
 BATCH = 256
@@ -141,6 +143,62 @@ def _negative_samples_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drawn(spark, sf_dir, True)
 
 
+# The alias table by running totals: what words below the mean lack and words above it have over, in whole numbers.
+_ALIAS = f"""{NEGATIVES},
+whole AS MATERIALIZED (SELECT idx, CAST(w * 1000000000 AS HUGEINT) AS w FROM weights),
+mass AS (SELECT sum(w) AS total, CAST(count(*) AS HUGEINT) AS n FROM whole),
+light AS MATERIALIZED (
+  SELECT idx, w * n AS own, CAST(sum(total - w * n) OVER (ORDER BY idx) AS HUGEINT) AS lacking, total
+  FROM whole, mass WHERE w * n < total),
+heavy AS MATERIALIZED (
+  SELECT idx, CAST(sum(w * n - total) OVER (ORDER BY idx) AS HUGEINT) AS over, lead(idx) OVER (ORDER BY idx) AS next, total
+  FROM whole, mass WHERE w * n >= total),
+-- Of words with equal totals the first one counts.
+fillers AS (SELECT over, min(idx) AS idx FROM heavy GROUP BY over),
+needs AS (SELECT lacking, lacking - (total - own) AS before, idx, own, total FROM light),
+slots AS MATERIALIZED (
+  SELECT i.idx, CAST(i.own AS DOUBLE) / CAST(i.total AS DOUBLE) AS keep, h.idx AS other
+  FROM needs i ASOF JOIN fillers h ON i.before <= h.over
+  UNION ALL
+  SELECT h.idx, CASE WHEN l.lacking IS NULL OR next IS NULL THEN 1.0
+                     ELSE CAST(h.total - l.lacking + h.over AS DOUBLE) / CAST(h.total AS DOUBLE) END, coalesce(next, h.idx)
+  FROM heavy h ASOF LEFT JOIN (SELECT DISTINCT lacking FROM light) l ON h.over < l.lacking)"""
+_LOOK = f"""JOIN slots s ON s.idx = CAST('0x' || substr(d.digest, 1, {DIGITS}) AS BIGINT) % (SELECT count(*) FROM slots)"""
+_HIT = f"""CASE WHEN CAST('0x' || substr(d.digest, {DIGITS + 1}, {DIGITS}) AS BIGINT) < s.keep * {16**DIGITS}.0 THEN s.idx ELSE s.other END"""
+_KEYED = f"""keyed AS (
+  SELECT doc_id, draw, doc_id * 7 % 500 AS context, '{SEED}|' || doc_id || '|' || draw AS key
+  FROM documents, (SELECT unnest(range(5)) AS draw))"""
+
+
+def _drawn_by_alias(spark: SparkSession, sf_dir: str, exclude: bool) -> DataFrame:
+    pairs = inputs.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 500).alias("context"))
+    drawn = alias_samples(pairs, materialise(inputs.vocab(spark, sf_dir)), 5, SEED, ["doc_id"], exclude)
+    return drawn.select("doc_id", "draw", "context", "negative")
+
+
+@plan(
+    "negative_samples_alias",
+    f"""WITH {_ALIAS}, {_KEYED}, d AS (SELECT *, md5(key || '|0') AS digest FROM keyed)
+    SELECT doc_id, draw, context, {_HIT} AS negative FROM d {_LOOK}""",
+)
+def _negative_samples_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn_by_alias(spark, sf_dir, False)
+
+
+@plan(
+    "negative_samples_alias_excluding",
+    f"""WITH RECURSIVE {_ALIAS}, {_KEYED}, tries(doc_id, draw, context, key, attempt, negative) AS (
+      SELECT doc_id, draw, context, key, 0, {_HIT} FROM (SELECT *, md5(key || '|0') AS digest FROM keyed) d {_LOOK}
+      UNION ALL
+      SELECT doc_id, draw, context, key, attempt, {_HIT}
+      FROM (SELECT doc_id, draw, context, key, attempt + 1 AS attempt, md5(key || '|' || (attempt + 1)) AS digest
+            FROM tries WHERE negative = context) d {_LOOK})
+    SELECT doc_id, draw, context, negative FROM tries WHERE negative <> context""",
+)
+def _negative_samples_alias_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn_by_alias(spark, sf_dir, True)
+
+
 @plan(
     "sgns_loss",
     f"""WITH {inputs.SPACE}, size AS (SELECT count(*) AS n FROM space),
