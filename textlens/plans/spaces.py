@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from textlens.plans import inputs
 from textlens.plans.inputs import BUCKET_SPACES, SPACE
 from textlens.plans.registry import plan, rounded, rounded_sql
 from textlens.session import scratch_path
-from textlens.sources.spaces import load_space, save_space
+from textlens.sources.spaces import load_space, load_space_files, save_space, save_space_files
 
 _LONG = """SELECT idx, unnest(range(len(vec))) AS dim, unnest(vec) AS value FROM {source}"""
 
@@ -46,6 +48,21 @@ def _embedding_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(load_space(spark, path))
 
 
+@plan(
+    "embedding_files",
+    f"""WITH {SPACE}, long AS (SELECT idx, word, unnest(range(len(vec))) AS dim, unnest(vec) AS value FROM space)
+    SELECT idx, word, dim, {rounded_sql('value')} AS value FROM long""",
+)
+def _embedding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The space written as a matrix and a file of words, and read back by stretches of bytes."""
+    path = scratch_path(spark, "space-files").removeprefix("file:")
+    os.makedirs(path)
+    save_space_files(inputs.space(spark, sf_dir), f"{path}/vectors.npy", f"{path}/words.txt")
+    rows = load_space_files(spark, f"{path}/vectors.npy", f"{path}/words.txt")
+    rows = rows.select("idx", "word", F.posexplode("vec").alias("dim", "value"))
+    return rows.withColumn("value", rounded(F.col("value").cast("double")))
+
+
 @plan(
     "get_vector",
     f"""WITH {SPACE}, one AS (SELECT * FROM space WHERE word = 'w7'), long AS ({_LONG.format(source='one')})
