@@ -73,6 +73,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the storage that Spark takes it from, the default one where it names none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Remove the tables this process has stored; no frame that reads them may be used afterwards."""
     for path in _stored:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.functions.text import SPACES
+from textlens.session import qualified
+from textlens.sources.archive import read_json_files, storage_of
 
 # The fields of a post.
 FIELDS = {
@@ -84,9 +86,15 @@ def scan_posts(
 ) -> DataFrame:
     """Parsed raw posts of all matching files: one object per line, a list on one line, or a list over several.
 
-    The layout is found per file by a first look at the lines, which ``whole_files`` (the layout of all files) saves. Only
-    files with a list over several lines are read whole. ``seen`` counts rows that are no JSON, as in `parse_posts`.
+    Each file is unpacked once: its beginning tells its layout, and the entries of a list are read one by one
+    (`read_json_files`; one task reads a file). ``whole_files`` gives the layout of all files instead: False reads lines,
+    also within one bz2 file in parallel, True reads whole files. In a storage that only Spark knows, or with alternatives
+    in braces in ``glob``, the files with a list over several lines are found by reading all lines first. ``seen`` counts
+    rows that are no JSON, as in `parse_posts`.
     """
+    place = qualified(spark, path)
+    if whole_files is None and "{" not in glob and storage_of(place) is not None:
+        return parse_posts(read_json_files(spark, place, glob), seen)
     rows = read_text_files(spark, path, glob, bool(whole_files))
     if whole_files:
         return parse_posts(split_whole_files(rows), seen)
