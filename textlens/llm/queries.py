@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textlens.llm import sql
 from textlens.llm.bpe import bpe
-from textlens.llm.chat import chat_format
+from textlens.llm.chat import END, TURN, chat_format
 from textlens.llm.common import read
 from textlens.llm.dedup import near_duplicates
 from textlens.llm.licenses import license_scan
@@ -41,7 +41,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string"
     )
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)
-    return chat_format(rows, public_tokenizers.path("byte_bpe_50k.json"))
+    return chat_format(rows, public_tokenizers.path("byte_bpe_50k.json")).drop("n_tokens", "n_loss_tokens")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op11_negatives": sql.NEGATIVES, "op13_merkle": sql.merkle()}
+ORACLES: dict[str, str] = {
+    "op1_minhash": sql.near_duplicates(),
+    "op4_chat": sql.chat(TURN, END),
+    "op11_negatives": sql.NEGATIVES,
+    "op13_merkle": sql.merkle(),
+}

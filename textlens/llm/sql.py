@@ -85,3 +85,42 @@ def merkle(heights: int = 10) -> str:
     return f"""WITH {body}
 SELECT doc_id, leaf, subroot, r.name AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.name AS verified
 FROM w{number}, t{heights - 1}nodes r"""
+
+
+def near_duplicates(k: int = 4, percent: int = 80) -> str:
+    """Components of documents by the similarity of their whole sets of ``k``-word shingles."""
+    small = f"translate(text, '{LETTERS}', '{LETTERS.lower()}')"
+    return rf"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({small}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+                      ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')))) END AS s
+  FROM words),
+classes AS MATERIALIZED (SELECT min(doc_id) AS node, s FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS MATERIALIZED (SELECT node, len(s) AS n, unnest(s) AS shingle FROM classes),
+links AS MATERIALIZED (
+  SELECT a.node AS x, b.node AS y FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reached(node, other) AS (
+  SELECT node, node FROM classes UNION SELECT r.node, l.y FROM reached r JOIN links l ON l.x = r.other),
+roots AS (SELECT node, min(other) AS root FROM reached GROUP BY node)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, coalesce(r.root, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN roots r ON r.node = c.node"""
+
+
+def chat(turn: str, end: str) -> str:
+    """Digests and lengths of all conversations when turns stand between the control strings ``turn`` and ``end``."""
+
+    def escaped(value: str) -> str:
+        return rf"regexp_replace({value}, '<(\\*)\|', '<\\\1|', 'g')"
+
+    role = escaped(r"replace(replace(role, '\', '\\'), chr(10), '\n')")
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({len(turn) + len(end) + 2} + length({role}) + length({escaped('text')})) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
