@@ -45,3 +45,11 @@ def test_documents(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_tokens) for r in token_counts.token_counts(docs, PATH).collect()), key=str)
     assert got == want
     assert token_counts.token_counts(odd_documents(spark, empty=True), PATH).count() == 0
+
+
+def test_long_words_are_counted_and_not_remembered(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO", 50)
+    memo = token_counts.Memo(token_counts.load(PATH).counter)
+    words = [b"%d" % i * (i % 90 + 1) for i in range(1000)] * 2
+    assert [memo[w] for w in words] == [memo.counter.count(w) for w in words]
+    assert len(memo) <= 50 and max(map(len, memo)) <= token_counts.MEMO_BYTES

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from textlens.llm.common import map_columns, process_cache
 
-#: Words whose count is remembered by a Python worker before it forgets them all; results do not depend on it.
-MEMO = 100_000
+#: Words whose count is remembered by a Python worker before it forgets them all, and bytes of the longest of them; results
+#: do not depend on it.
+MEMO, MEMO_BYTES = 100_000, 64
 
 
 class PieceCounter:
@@ -77,9 +78,11 @@ class Memo(dict):
         self.counter = counter
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        self[word] = n = self.counter.count(word)
+        n = self.counter.count(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -102,8 +105,8 @@ def token_counts(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words and n_tokens for every row: words are runs other than space and the characters 9 to 13, and each is
     cut greedily into the longest pieces of the vocabulary at ``path`` (a file on every machine).
 
-    Null, empty and blank texts have 0 words and 0 tokens; a word that cannot be cut counts as one unknown token. Repeated
-    rows count each; an empty table gives an empty table; other columns are ignored.
+    Null, empty and blank texts have 0 words and 0 tokens; a word that cannot be cut counts as one unknown token. Texts and
+    words count whole, however long; of long words no count is remembered. Repeated rows count each; an empty table gives an empty table; other columns are ignored.
     """
 
     def make(part: dict[str, list]) -> dict[str, object]:
