@@ -46,3 +46,38 @@ def test_features_in_blocks_equal_one_pass():
         toxicity.BLOCK = old
     alone = np.concatenate([model.logits([t]) for t in texts])
     assert np.allclose(alone, whole, atol=1e-5)
+
+
+def test_pieces_and_memory_change_no_code(monkeypatch):
+    text = ("The %s end " % ("x" * 300) + " ".join(f"Wort{i % 700}é" for i in range(5000))).encode()
+    toxicity.process_cache().pop("toxicity_words", None)
+    whole = toxicity.encode(text)
+    for piece, memo in ((1, 3), (50, 100), (7000, 10)):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        monkeypatch.setattr(toxicity, "MEMO", memo)
+        toxicity.process_cache().pop("toxicity_words", None)
+        assert (toxicity.encode(text) == whole).all()
+        kept = toxicity.process_cache()["toxicity_words"]
+        assert len(kept) <= memo and max(map(len, kept)) <= toxicity.MEMO_BYTES
+    assert len(toxicity.encode(None)) == len(toxicity.encode(b" \n ")) == 0
+
+
+def test_sample_is_bounded_in_words_and_one_row_an_id(spark):
+    rows = [(i, "bad word " * (i % 9 + 1) if i % 2 else "good word " * 5) for i in range(1, 60)] + [(3, "good good"), (3, "bad"), (8, "w " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    seen = []
+
+    def fit(texts, labels, seed=7):
+        seen.append(sum(map(len, texts)))
+        return real(texts, labels, seed)
+
+    real, toxicity.fit = toxicity.fit, fit
+    try:
+        for bound in (1 << 25, 6400, 200):
+            assert len(toxicity.toxicity(docs, labels).collect()) == len(rows)
+            toxicity.learn(docs, labels, words=bound)
+            assert seen[-1] <= bound
+    finally:
+        toxicity.fit = real
+    assert 0 < seen[-1] < seen[-3] <= seen[-5]

@@ -8,19 +8,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlens.llm.common import map_columns, process_cache
+from textlens.llm.common import map_columns, process_cache, stored
 
 #: Most labelled texts of each class that a fit sees, those of the smallest hashes: the one bounded sample here.
 FIT_PER_CLASS = 3000
+#: Most words of that sample, by 8 bytes a word in the driver; a text of more than the 64th part is not learnt from.
+FIT_WORDS = 1 << 25
 BUCKETS = 1 << 16
 WIDTH, FILTERS, SPANS = 12, 12, (1, 2, 3)
 PREFIX = 4
 EPOCHS, BATCH, RATE = 5, 32, 0.05
 BLOCK = 1 << 16
-MEMO = 100_000
+#: Words that a Python worker remembers before it forgets them all, and bytes of the longest of them.
+MEMO, MEMO_BYTES = 100_000, 64
+#: Bytes of a text cut into words at once, and bytes of texts scored at once.
+PIECE = 1 << 20
 #: Frequent words by which a text shows its language (fixed lists); a text without any is of the last group.
 COMMON = {
     "en": "the and of to in is that with was for",
@@ -45,9 +50,10 @@ class Words(dict):
         start = word.decode("utf-8", "replace")[:PREFIX].encode()
         whole, part = zlib.crc32(word) % (BUCKETS - 1) + 1, zlib.crc32(b"^" + start) % (BUCKETS - 1) + 1
         code = whole | part << 20 | self.group.get(word, GROUPS - 1) << 40
-        if len(self) > MEMO:
-            self.clear()
-        self[word] = code
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = code
         return code
 
 
@@ -56,7 +62,13 @@ def encode(text: bytes | None) -> np.ndarray:
     cache = process_cache()
     if "toxicity_words" not in cache:
         cache["toxicity_words"] = Words()
-    return np.array(list(map(cache["toxicity_words"].__getitem__, (text or b"").translate(_TABLE).split())), np.int64)
+    data, parts, at = (text or b"").translate(_TABLE), [np.empty(0, np.int64)], 0
+    while at < len(data):
+        stop = data.find(b" ", at + PIECE)
+        stop = len(data) if stop < 0 else stop
+        parts.append(np.fromiter(map(cache["toxicity_words"].__getitem__, data[at:stop].split()), np.int64))
+        at = stop
+    return np.concatenate(parts)
 
 
 def language(codes: np.ndarray) -> int:
@@ -217,9 +229,10 @@ def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, least:
             model.thresholds[group] = best_cut(logits[own], labels[own])
 
 
-def learn(documents: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS) -> Model:
-    """A model from labelled documents whose crc32(doc_id) mod 5 is not 0: at most ``per_class`` of each class, those of the
-    smallest hash of doc_id. Of these, remainder 1 sets the thresholds and the rest trains.
+def learn(documents: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS, words: int = FIT_WORDS) -> Model:
+    """A model from labelled documents whose crc32(doc_id) mod 5 is not 0: at most ``per_class`` of each class and ``words``
+    words in all, those of the smallest hash of doc_id. Of these, remainder 1 sets the thresholds and the rest trains.
+    Of rows that share a doc_id one is learnt from, and no text of more than the 64th part of ``words``.
 
     Labels other than 0 and 1, null ids and labels without a document do not count. Without any label the model scores
     every text alike, below one half.
@@ -236,7 +249,13 @@ def learn(documents: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLAS
     def make(part: dict[str, list]) -> dict[str, object]:
         return {"doc_id": part["doc_id"], "y": part["y"], "fold": part["fold"], "codes": [encode(t).tobytes() for t in part["text"]]}
 
-    sample = map_columns(found.select("doc_id", "text", "y", "fold"), "doc_id bigint, y int, fold int, codes binary", make).toArrow()
+    coded = map_columns(found.select("doc_id", "text", "y", "fold"), "doc_id bigint, y int, fold int, codes binary", make, rows=64)
+    coded = coded.filter(F.octet_length("codes") <= 8 * words // 64).groupBy("doc_id", "y", "fold").agg(F.min("codes").alias("codes"))
+    coded = stored(coded, "coded")
+    # At most per_class rows of each class, so one window holds them.
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "y").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = coded.select("doc_id", "y", F.sum(F.octet_length("codes")).over(order).alias("total")).filter(F.col("total") <= 8 * words)
+    sample = coded.join(F.broadcast(sizes.select("doc_id", "y")), ["doc_id", "y"]).toArrow()
     sample = sample.sort_by([("doc_id", "ascending"), ("y", "ascending")])
     texts = [np.frombuffer(b, np.int64) for b in sample["codes"].to_pylist()]
     ys, folds = np.array(sample["y"].to_pylist(), np.int64), np.array(sample["fold"].to_pylist(), np.int64)
@@ -253,8 +272,14 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     shared = spark.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
-        parts = [texts.slice(begin, 256).to_pylist() for begin in range(0, len(texts), 256)]
-        return pa.array([s for part in parts for s in shared.value.scores([encode(t) for t in part])], pa.float64())
+        scores, codes, size = [], [], 0
+        for text in texts:
+            codes.append(encode(text.as_py()))
+            size += 8 * len(codes[-1])
+            if len(codes) == 256 or size >= PIECE:
+                scores.extend(shared.value.scores(codes))
+                codes, size = [], 0
+        return pa.array([*scores, *shared.value.scores(codes)], pa.float64())
 
     score = F.arrow_udf(run, "double")
     return lambda text: score(text.cast("binary"))
@@ -265,7 +290,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, per_class: int = FIT_PER_C
 
     Only the text enters a score; its language is judged from its own frequent words. held_out marks rows whose crc32 of
     doc_id as text leaves 0 modulo 5, whose labels are never used; without doc_id it is false. Null and empty texts are
-    scored as texts without words. Repeated rows are scored each; an empty table gives an empty table.
+    scored as texts without words; texts are scored whole, however long. Repeated rows are scored each; an empty table gives
+    an empty table.
     """
     model = learn(documents, labels, per_class)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
