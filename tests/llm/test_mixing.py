@@ -94,3 +94,14 @@ def test_repeated_rows_share_their_copies(spark):
     for i in range(2):
         taken = counts[None, f"same words here {i}", "hot", "k"]
         assert abs(taken - 300 * rate) <= 1
+
+
+def test_one_id_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing.choose, "__defaults__", (40,))
+    rows = [(None if i % 3 else 7, "s" if i % 2 else None, "w " * (i % 37) + str(i)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mixture(docs).collect()
+    assert len(got) == 900 and all(0 <= r.taken <= 2 * r.size for r in got)
+    for target in {r.target for r in got}:
+        assert abs(sum(r.taken for r in got if r.target == target) - target) <= 3
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixture(docs.repartition(7)).collect()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,15 +20,16 @@ GROUP = 1 << 13
 _EPS = 1e-9
 
 
-def flight(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
+def flight(sizes: np.ndarray, chances: np.ndarray, seed: int = 0) -> np.ndarray:
     """Flight phase of the cube method with two constraints, the number of documents and their words.
 
     Three documents with a fractional probability are taken at a time; probabilities move along the null space of their
-    constraints until one of them is 0 or 1, so that both totals stay what they were. At most two stay fractional.
+    constraints until one of them is 0 or 1, so that both totals stay what they were. At most two stay fractional. Coins
+    come from ``seed`` and the number of documents.
     """
     out = chances.astype(np.float64).copy()
     live: list[int] = []
-    rng = np.random.default_rng(len(out) * 2654435761 % (1 << 32))
+    rng = np.random.default_rng([seed, len(out)])
     coins = rng.random(len(out) + 3).tolist()
     for i in np.flatnonzero((out > _EPS) & (out < 1 - _EPS)).tolist():
         live.append(i)
@@ -87,21 +89,24 @@ def choose(units: DataFrame, group: int = GROUP) -> DataFrame:
     """``units`` (unit, source, size, chance) with the chance moved to 0 or 1 for all but at most two units of a source.
 
     A source is cut into groups of about ``group`` units, each moved by one task; what stays fractional, two of a group
-    at most, is gathered in a further round of fewer groups, until each source is one group.
+    at most, is gathered in a further round of fewer groups, until each source is one group. Groups are dealt by unit, size
+    and, if there is one, ``mark``, so that one unit of many rows is spread as well.
     """
     done: list[DataFrame] = []
     schema = units.schema
     columns = units.columns
+    order = [c for c in ("unit", "size", "mark") if c in columns]
     while True:
         counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
         cells = units.join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         parts = F.ceil(F.col("_n") / group)
-        cells = cells.withColumn("_cell", F.pmod(F.xxhash64("unit"), parts)).withColumn("_parts", parts)
+        cells = cells.withColumn("_cell", F.pmod(F.xxhash64(*order), parts)).withColumn("_parts", parts)
         most = counts.agg(F.max("_n")).first()[0] or 0
 
         def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("unit", "ascending"), ("size", "ascending")])
-            moved = flight(table["size"].to_numpy(), table["chance"].to_numpy())
+            table = table.sort_by([(c, "ascending") for c in order])
+            seed = zlib.crc32(f"{table['source'][0].as_py()}/{table['_cell'][0].as_py()}".encode())
+            moved = flight(table["size"].to_numpy(), table["chance"].to_numpy(), seed)
             return table.select(columns).set_column(columns.index("chance"), "chance", pa.array(moved))
 
         moved = stored(cells.groupBy("source", "_cell").applyInArrow(run, schema), "moved")
@@ -143,9 +148,11 @@ def mixture(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of ``documents`` (doc_id, text, source).
 
     size is the number of words; null, empty and blank texts have 0 and are never taken. Null sources are one source, the
-    last. Repeated rows are documents of their own. An empty table gives an empty table; other columns are ignored.
+    last. Repeated rows are documents of their own; long texts count whole, and only their sizes are shuffled. An empty table
+    gives an empty table; other columns are ignored.
     """
-    units = stored(documents.select(F.col("doc_id").alias("unit"), "source", word_count(F.col("text")).alias("size")), "units")
+    mark = F.xxhash64("text").alias("mark")
+    units = stored(documents.select(F.col("doc_id").alias("unit"), "source", word_count(F.col("text")).alias("size"), mark), "units")
     out = mix(units, whole=False)
     return out.select(F.col("unit").alias("doc_id"), "size", F.col("source_size").cast("bigint"), "target", F.col("taken").cast("bigint"))
 
