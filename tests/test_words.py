@@ -8,10 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textlens.operators import ranking
-from textlens.operators.joins import lookup_join, salted_lookup_join
+from textlens.operators.joins import lookup_join, salted_lookup_join, table_bytes
 from textlens.operators.sampling import sample_per_group, split_dataset
 from textlens.operators.noise import alias_samples, alias_table
-from textlens.operators.skipgram import negative_samples, sgns_loss, skipgram_pairs, training_pairs
+from textlens.operators.skipgram import negative_samples, sgns_loss, skipgram_pairs, subsample, training_pairs
 from textlens.operators.vocab import (
     decode,
     encode,
@@ -220,3 +220,17 @@ def test_alias_draws_at_the_edges(spark):
     assert alias_samples(pairs.limit(0), one, 2, 1, ["id"]).count() == 0
     with pytest.raises(ValueError):
         alias_samples(pairs, one.limit(0), 2, 1, ["id"])
+
+
+@pytest.mark.parametrize("max_bytes", [0, 300])
+def test_words_beyond_the_sent_ones_are_joined(spark, max_bytes):
+    """The text is read once, into a stored table, and each word is coded as by the whole vocabulary."""
+    rows = [(i, " ".join(f"w{(i * k) % 40}" for k in range(1, 30))) for i in range(60)] + [(90, None), (91, ""), (92, "new w1 new")]
+    lines = spark.createDataFrame(rows, "line_id bigint, text string").withColumn("text", F.regexp_replace("text", "x+", ""))
+    vocab = vocabulary(ordered_word_counts(token_rows(lines.filter("line_id < 92")))).cache()
+    assert table_bytes(vocab.select("word", "idx")) > 2 * max_bytes
+    coded = encode(lines, vocab, max_bytes=max_bytes)
+    assert "regexp_replace" not in coded._jdf.queryExecution().optimizedPlan().toString()
+    assert {r[0]: r[1] for r in coded.collect()} == {r[0]: r[1] for r in encode(lines, vocab).collect()}
+    kept = [{r[0]: r[1] for r in subsample(lines, vocab, 5, max_bytes=most).collect()} for most in (max_bytes, 1 << 20)]
+    assert kept[0] == kept[1] and len(kept[0]) > 30
