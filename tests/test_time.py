@@ -8,6 +8,8 @@ from textlens.functions.vector import interpolate
 from textlens.operators import stance
 from textlens.operators.skipgram import learning_rate
 from textlens.operators.temporal import entity_trend, event_overlay, similarity_over_time, term_frequency
+from textlens.plans import PLANS, analysis
+from textlens.plans.check import difference, tables
 from textlens.streaming import jobs
 
 
@@ -124,3 +126,13 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     assert {(str(r.bucket), r.word): r.freq for r in months}[("2018-02-01", "a")] == 12
     closed = jobs.run_available(jobs.running_word_counts(arriving))
     assert {str(r.day) for r in closed.collect()} <= {"2018-02-01", "2018-02-02"}
+
+
+def test_restarted_stream_of_many_files(spark, monkeypatch):
+    """No file of a micro-batch grows with the input; the result stays that of four micro-batches."""
+    sf_dir, files = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(analysis, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(analysis, "_part", lambda n, own=analysis._part: (files.append(n), own(n))[1])
+    got = PLANS["stream_restarted"].run(spark, sf_dir).toPandas()
+    assert files[-1] > 1
+    assert difference(got, tables(sf_dir).execute(PLANS["stream_restarted"].sql).df()) is None

@@ -320,6 +320,25 @@ kept AS (
   WHERE mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark)"""
 
 
+FILE_BYTES = 16 << 20  # text of an arriving file
+
+
+def _part(files: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(files))
+
+
+def _files_each(documents: DataFrame, batch: Column) -> int:
+    """Files that each batch of documents is dealt to: as many for every batch, and none without a document."""
+    sizes = documents.groupBy(batch.alias("batch")).agg(F.sum(F.octet_length("text")).alias("bytes"))
+    files = max(1, -(-int(sizes.agg(F.max("bytes")).first()[0] or 0) // FILE_BYTES))
+    while files > 1:
+        held = documents.select(batch.alias("batch"), _part(files).alias("part")).distinct().groupBy("batch").count()
+        if [row["count"] for row in held.collect()] == [files] * 4:
+            break
+        files //= 2
+    return files
+
+
 @plan(
     "stream_restarted",
     f"""WITH {_ARRIVALS} SELECT {_DAYS.format(key='t.line_id')} AS day, word, count(*) AS freq
@@ -329,15 +348,17 @@ def _stream_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running word counts over four micro-batches, stopped after two and started again; late documents do not count."""
     documents = inputs.table(spark, sf_dir, "documents")
     batch = F.when(F.col("doc_id") % 11 == 0, 3).otherwise(F.floor(F.col("doc_id") % 60 / 20)).cast("int")
+    files = _files_each(documents, batch)
     landing, path, checkpoint = (scratch_path(spark, name) for name in ("landing", "stream", "stream-state"))
 
     def counts() -> DataFrame:
         reader = spark.readStream.schema(documents.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-        return running_word_counts(_dated(reader.option("maxFilesPerTrigger", 1).parquet(landing)), phrases=inputs.PHRASES)
+        return running_word_counts(_dated(reader.option("maxFilesPerTrigger", files).parquet(landing)), phrases=inputs.PHRASES)
 
     for arriving in ((0, 1), (2, 3)):
         for number in arriving:
-            # One file is one micro-batch; files are read in the order of their times.
-            documents.filter(batch == number).coalesce(1).write.parquet(f"{landing}/{number}")
+            # So many files are one micro-batch; files are read in the order of their times.
+            arrived = documents.filter(batch == number).withColumn("part", _part(files)).repartition(files, "part")
+            (arrived.write.partitionBy("part") if files > 1 else arrived.drop("part").write).parquet(f"{landing}/{number}")
         run_updates(counts(), path, checkpoint)
     return read_updates(counts(), path)
