@@ -2,6 +2,7 @@ import bz2
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from textlens.operators.clean import clean_posts, clean_projection, language_filter, make_corpus, valid_posts
@@ -96,3 +97,16 @@ def test_corpus_drops_truncated_and_null(spark, tmp_path):
     assert [r.text for r in kept.collect()] == ["c"]
     lines.write_lines(kept, str(tmp_path / "out"))
     assert [r.text for r in lines.read_lines(spark, [str(tmp_path / "out")]).collect()] == ["c"]
+
+
+def test_labelled_folders_hold_one_whole_file_per_text(spark, tmp_path):
+    texts = [("a", "c0"), ("a", "c0"), ("a", "c1"), ("", "c1"), ("ends\x00", "c0"), ("two\nlines ü", "x=y/z"), (None, "c0"), ("b", None)]
+    written = tmp_path / "made"
+    lines.write_labelled_folders(spark.createDataFrame(texts, "text string, class string").repartition(2), str(written))
+    got = sorted((r.text, r["class"], r.label) for r in lines.read_labelled_folders(spark, str(written)).collect())
+    assert [(t, label) for t, _, label in got] == [("", 1), ("a", 0), ("a", 0), ("a", 1), ("ends\x00", 0), ("two\nlines ü", 2)]
+    # The files of tasks alone, without the drafts and checksums that a process each had to be started for.
+    assert sorted(p.suffix for p in written.rglob("*") if p.is_file()) == [".txt"] * 6
+    assert {p.name for p in written.iterdir()} == {"class=c0", "class=c1", "class=x%3Dy%2Fz"}
+    with pytest.raises(FileExistsError):
+        lines.write_labelled_folders(spark.createDataFrame(texts, "text string, class string"), str(written))

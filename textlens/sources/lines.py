@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import os
+import re
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlens.session import exists, qualified
+
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All lines of the files: ``text, source_file``."""
@@ -62,6 +71,47 @@ def write_survey(survey: DataFrame, path: str) -> None:
 
 
 def write_labelled_folders(texts: DataFrame, path: str) -> None:
-    """``text, class`` as one file per text and a folder per class, as `read_labelled_folders` reads them."""
+    """``text, class`` as one file per text and a folder per class, as `read_labelled_folders` reads them.
+
+    In a file system that tasks see as a folder they write the files themselves: Spark's writer starts two processes
+    for each file there and moves each by the driver. Elsewhere Spark's writer is used.
+    """
     rows = texts.select("text", "class").filter(F.col("text").isNotNull() & F.col("class").isNotNull())
-    rows.write.partitionBy("class").option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(path)
+    scheme, _, place = qualified(texts.sparkSession, path).partition(":")
+    if scheme != "file":
+        rows.write.partitionBy("class").option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(path)
+        return
+    if exists(texts.sparkSession, path):
+        raise FileExistsError(path)
+    os.makedirs(folder := "/" + place.lstrip("/"))
+    named = rows.select(F.col("text").cast("binary").alias("text"), F.col("class").cast("string").alias("class"))
+    named.mapInArrow(_file_writer(folder), "files bigint").agg(F.sum("files")).first()
+
+
+def _class_folder(name: str) -> str:
+    """The folder that Spark's writer gives a class."""
+    return "class=" + (re.sub(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", name) or "__HIVE_DEFAULT_PARTITION__")
+
+
+def _file_writer(folder: str) -> Callable:
+    """Each text into a file named by its partition, its content and how often that came before: a task that runs again
+    writes the same files, in whatever order its rows come. A file has its name only when it is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, folders = TaskContext.get().partitionId(), Counter(), {}
+        if not os.path.isdir(folder):
+            raise FileNotFoundError(f"tasks do not see {folder}")
+        draft = os.path.join(folder, f"_{uuid.uuid4().hex}")
+        for batch in batches:
+            for text, name in zip(*(batch.column(c).to_pylist() for c in ("text", "class")), strict=True):
+                if name not in folders:
+                    folders[name] = os.path.join(folder, _class_folder(name))
+                    os.makedirs(folders[name], exist_ok=True)
+                key = (name, md5(text, usedforsecurity=False).hexdigest())
+                with open(draft, "wb") as out:
+                    out.write(text + b"\0")
+                os.replace(draft, os.path.join(folders[name], f"part-{part:05d}-{key[1]}-{seen[key]}.txt"))
+                seen[key] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    return run
