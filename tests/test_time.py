@@ -136,3 +136,19 @@ def test_restarted_stream_of_many_files(spark, monkeypatch):
     got = PLANS["stream_restarted"].run(spark, sf_dir).toPandas()
     assert files[-1] > 1
     assert difference(got, tables(sf_dir).execute(PLANS["stream_restarted"].sql).df()) is None
+
+
+def test_a_classifier_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(f"good fine {i}" if i % 2 else f"bad poor {i}", float(i % 2)) for i in range(40)]
+    labelled = spark.createDataFrame(rows, "text string, label double").withColumn("text", seen.asNondeterministic()("text"))
+    found = stance.train_classifier(labelled, features=64)
+    assert read.value == 40
+    scored = stance.classify(spark.createDataFrame([("good fine", 1), ("bad poor", 0)], "text string, label int"), found.model)
+    assert [r[0] for r in stance.stance_from_logits(scored, (0, 1)).select("class").collect()] == [1, 0]

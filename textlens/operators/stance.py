@@ -49,15 +49,17 @@ def train_classifier(
     The model is saved at ``path``, by default in the shared folder (where `release_scratch` removes it), and read back,
     which leaves the summary of its training, and the session that one holds, out of the tasks that apply it.
     """
-    stages = [
-        HashingTF(numFeatures=features, inputCol="words", outputCol="counts"),
+    hashing = HashingTF(numFeatures=features, inputCol="words", outputCol="counts")
+    learned = [
         IDF(inputCol="counts", outputCol="features"),
         LogisticRegression(family="multinomial", maxIter=iterations, tol=tolerance, regParam=penalty, rawPredictionCol="raw"),
     ]
     path = path or scratch_path(labelled.sparkSession, "classifier")
-    fitted = Pipeline(stages=stages).fit(_worded(labelled))
+    # Both stages pass over the counts, so texts are read and cut into words once.
+    counted = materialise(hashing.transform(_worded(labelled)).select("counts", "label"), "counts")
+    fitted = Pipeline(stages=learned).fit(counted)
     took = fitted.stages[-1].summary.totalIterations
-    fitted.write().overwrite().save(path)
+    PipelineModel([hashing, *fitted.stages]).write().overwrite().save(path)
     return Classifier(load_classifier(path), path, took, took < iterations)
 
 

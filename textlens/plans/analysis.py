@@ -16,6 +16,7 @@ from textlens.operators.stance import (
     train_and_evaluate,
 )
 from textlens.operators.asof import asof_join
+from textlens.operators.joins import lookup_join
 from textlens.operators.sampling import split_dataset
 from textlens.operators.temporal import entity_trend, event_overlay, similarity_over_time, stance_by_bucket, term_frequency
 from textlens.plans import inputs
@@ -232,7 +233,8 @@ def _user_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = inputs.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic")).cast("int").alias("label"))
-    return inputs.table(spark, sf_dir, "documents").join(labels, "doc_id").select("doc_id", "text", "label")
+    # Texts are large and labels small: only labels are sent, if they were measured to be few.
+    return lookup_join(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"), labels, ["doc_id"])
 
 
 @plan("classify")
