@@ -110,3 +110,35 @@ def test_labelled_folders_hold_one_whole_file_per_text(spark, tmp_path):
     assert {p.name for p in written.iterdir()} == {"class=c0", "class=c1", "class=x%3Dy%2Fz"}
     with pytest.raises(FileExistsError):
         lines.write_labelled_folders(spark.createDataFrame(texts, "text string, class string"), str(written))
+
+
+def test_labelled_folders_are_read_as_by_spark(spark, tmp_path):
+    """Odd names, hidden files, empty files, bytes that are no text: tasks read what Spark's reader reads."""
+    names = ["a b%/x.txt", "class=ä +%41;=@/1.txt", "deep/er/class=q/2.txt", "_hid/3.txt", "_kept=1/4.txt", ".dot/5.txt", "r.txt", "p/_6.txt", "p/.7.txt", "p/8.csv", "p/9.txt._COPYING_", "p/new\nline.txt", "n\u00a0b\u2028/1.txt"]
+    bodies = [b"one", b"two\x00", b"\xef\xbb\xbfthree\x00\x00", b"4", b"five\r\n", b"6", b"\xff\xfe\x80", b"8", b"9", b"10", b"11", b"a\x00\n", b"\x00"]
+    for name, body in zip(names, bodies, strict=True):
+        os.makedirs(tmp_path / "top" / os.path.dirname(name), exist_ok=True)
+        (tmp_path / "top" / name).write_bytes(body)
+    (tmp_path / "top" / "deep" / "empty.txt").write_bytes(b"")
+    path = str(tmp_path / "top")
+
+    def rows(frame):
+        return sorted((bytes(r.b), r["class"], r.label) for r in frame.select(F.col("text").cast("binary").alias("b"), "class", "label").collect())
+
+    expected = rows(lines.label_by_name(lines._class_of(lines._read_files(spark, path))))
+    assert rows(lines.read_labelled_folders(spark, path)) == expected and len(expected) == 7
+    assert rows(lines.read_labelled_folders(spark, f"{path}/*/er")) == rows(lines.label_by_name(lines._class_of(lines._read_files(spark, f"{path}/*/er"))))
+    os.makedirs(tmp_path / "none")
+    assert lines.read_labelled_folders(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_class_names_cost_no_second_reading(spark, tmp_path, monkeypatch):
+    """Spark's reader starts anew for each file, and read all of them a second time for the names of classes."""
+    lines.write_labelled_folders(spark.range(40).selectExpr("cast(id as string) text", "concat('c', id % 3) class"), str(tmp_path / "made"))
+    monkeypatch.setattr(lines, "_read_files", lambda *args: pytest.fail("Spark's reader was used"))
+    monkeypatch.setattr(lines, "_read_named", lambda batches: pytest.fail("texts were read for class names"))
+    read = lines.read_labelled_folders(spark, str(tmp_path / "made"))
+    assert read.select("label").schema.simpleString() == "struct<label:int>"
+    monkeypatch.undo()
+    read = lines.read_labelled_folders(spark, str(tmp_path / "made"))
+    assert sorted((int(r.text), r["class"], r.label) for r in read.collect()) == [(i, f"c{i % 3}", i % 3) for i in range(40)]

@@ -8,13 +8,17 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import md5
+from unicodedata import category
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlens.session import exists, qualified
+from textlens.session import exists, materialise, qualified
+
+TASK_BYTES, BATCH_BYTES = 16 << 20, 4 << 20  # text files that a task reads, and holds at once
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -36,16 +40,102 @@ def bucket_from_path(path: Column) -> Column:
 
 def read_labelled_folders(spark: SparkSession, path: str) -> DataFrame:
     """One text per file, one folder per class (``<class>`` or ``class=<class>``): ``text, class, label``; classes are
-    numbered by name."""
+    numbered by name.
+
+    In a file system that tasks see as a folder they read the files themselves, as Spark's reader starts anew for each
+    file, and class names are known from the list of files alone. Elsewhere Spark's reader is used.
+    """
+    scheme, _, place = qualified(spark, path).partition(":")
+    folder = "/" + place.lstrip("/")
+    if scheme != "file" or re.search(r"[*?\[\]{}\\]", path) or not os.path.isdir(folder):
+        return label_by_name(_class_of(_read_files(spark, path)))
+    files = materialise(_listed(spark, folder), "files")
+    size, cores = files.agg(F.sum("size")).first()[0] or 0, spark.sparkContext.defaultParallelism
+    dealt = files.repartition(max(2 * cores, size // TASK_BYTES), "folder", "name")
+    read = dealt.select("folder", "name", "parent").mapInArrow(_read_named, "value binary, parent string")
+    return label_by_name(_class_of(read.withColumn("value", F.col("value").cast("string"))), named=files.select(_class().alias("class")))
+
+
+def _read_files(spark: SparkSession, path: str) -> DataFrame:
+    """``value, parent`` of the files below a path by Spark's reader."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
-    named = files.select(F.regexp_replace("value", "\\x00$", "").alias("text"), F.regexp_replace(folder, "^class=", "").alias("class"))
-    return label_by_name(named)
+    return files.select("value", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("parent"))
+
+
+def _class_of(files: DataFrame) -> DataFrame:
+    """``text, class`` of ``value, parent``."""
+    return files.select(F.regexp_replace("value", "\\x00$", "").alias("text"), _class().alias("class"))
+
+
+def _class() -> Column:
+    return F.regexp_replace("parent", "^class=", "")
+
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's reader passes over."""
+    hides = (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+    return hides and not name.startswith(("_common_metadata", "_metadata"))
 
-def label_by_name(texts: DataFrame, name: str = "class") -> DataFrame:
-    """Add ``label``: the place of the class among all class names in order."""
-    names = texts.agg(F.array_sort(F.collect_set(name))).scalar()
+
+def _in_path(name: str) -> str:
+    """A name as it stands in the path that Spark gives a file."""
+
+    def plain(c: str) -> bool:
+        if c.isascii():
+            return c.isalnum() or c in "-_.!~*'():@&=+$,;"
+        return category(c) not in ("Zs", "Zl", "Zp", "Cc")
+
+    return "".join(c if plain(c) else quote(c, safe="") for c in name)
+
+
+def _listed(spark: SparkSession, top: str) -> DataFrame:
+    """``folder, name, parent, size`` of the text files below a folder. The driver finds the folders, tasks list them."""
+    folders, at = [top], 0
+    while at < len(folders):
+        with os.scandir(folders[at]) as entries:
+            folders.extend(entry.path for entry in entries if entry.is_dir() and not _hidden(entry.name))
+        at += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                with os.scandir(os.fsdecode(folder)) as entries:
+                    found = [(os.fsencode(e.name), e.stat().st_size) for e in entries if e.name.endswith(".txt") and not _hidden(e.name) and e.is_file()]
+                # Spark's reader passes over empty files.
+                found = [file for file in found if file[1]]
+                for begin in range(0, len(found), 1 << 14):
+                    part = found[begin : begin + (1 << 14)]
+                    same = [pa.array([x] * len(part), kind) for x, kind in ((folder, pa.binary()), (_in_path(os.path.basename(os.fsdecode(folder))), pa.string()))]
+                    names, sizes = pa.array([name for name, _ in part], pa.binary()), pa.array([size for _, size in part], pa.int64())
+                    yield pa.RecordBatch.from_arrays([same[0], names, same[1], sizes], ["folder", "name", "parent", "size"])
+
+    named = spark.createDataFrame(pa.table({"folder": pa.array([os.fsencode(folder.rstrip("/") or "/") for folder in folders], pa.binary())}))
+    dealt = named.repartition(min(len(folders), 4 * spark.sparkContext.defaultParallelism), "folder")
+    return dealt.mapInArrow(run, "folder binary, name binary, parent string, size bigint")
+
+
+def _read_named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole files, in batches of a bounded size."""
+
+    def made(texts: list, parents: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(parents, pa.string())], ["value", "parent"])
+
+    texts, parents, held = [], [], 0
+    for batch in batches:
+        for folder, name, parent in zip(*(batch.column(c).to_pylist() for c in ("folder", "name", "parent")), strict=True):
+            with open(os.path.join(folder, name), "rb") as file:
+                texts.append(file.read())
+            parents.append(parent)
+            held += len(texts[-1])
+            if held > BATCH_BYTES:
+                yield made(texts, parents)
+                texts, parents, held = [], [], 0
+    yield made(texts, parents)
+
+
+def label_by_name(texts: DataFrame, name: str = "class", named: DataFrame | None = None) -> DataFrame:
+    """Add ``label``: the place of the class among all class names (those of ``named``, if given) in order."""
+    names = (texts if named is None else named).agg(F.array_sort(F.collect_set(name))).scalar()
     return texts.withColumn("label", (F.array_position(names, F.col(name)) - 1).cast("int"))
 
 
